@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Non-characters set aside by Unicode for a program's own use.
@@ -63,6 +63,17 @@ def find_all(text: Column, regex: str) -> Column:
     return F.aggregate(F.split(marked, OPEN, -1), start, step, lambda acc: acc["out"])
 
 
+def unpack(df: DataFrame, keys: list[str], items: Column) -> DataFrame:
+    """One row per struct of an array column, next to ``keys``.
+
+    The outer form is used on purpose: for the inner one the optimizer derives a
+    size filter and pushes it below the projections that built the array, which
+    would compute the array twice.
+    """
+    rows = df.select(*keys, F.explode_outer(items).alias("_item"))
+    return rows.where(F.col("_item").isNotNull()).select(*keys, "_item.*")
+
+
 def decode_text(content: Column) -> Column:
     """Bytes to text: UTF-8 when valid, else Latin-1."""
     as_utf8 = content.cast("string")

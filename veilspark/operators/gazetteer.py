@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.functions.text import find_all, markable
+from veilspark.functions.text import find_all, markable, unpack
 
 TOKEN_REGEX = r"[\p{L}\p{N}_]+"
 BROADCAST_ROWS = 100_000
@@ -23,7 +23,7 @@ def detect_places(docs: DataFrame, places: DataFrame, text: str = "text", key: s
     A small name table is broadcast, so no token is shuffled; a larger one is
     joined by the ordinary shuffle.
     """
-    tokens = docs.select(key, F.inline(find_all(markable(F.col(text)), TOKEN_REGEX)))
+    tokens = unpack(docs, [key], find_all(markable(F.col(text)), TOKEN_REGEX))
     names = places.select("name").where(F.col("name").isNotNull()).distinct()
     hits = tokens.join(small(names), tokens["value"] == names["name"], "left_semi")
     return hits.select(key, F.lit("LOCATION").alias("entity_type"), "start_pos", "end_pos",

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark import config as C
-from veilspark.functions.text import contains_any, find_all, left_context, markable
+from veilspark.functions.text import contains_any, find_all, left_context, markable, unpack
 from veilspark.operators.patterns import Recognizer, bank_for
 
 SPANS = (
@@ -85,7 +85,7 @@ def detect(
 
 def explode_spans(docs: DataFrame, keys: list[str], spans: str = "spans") -> DataFrame:
     """One row per span, without the text."""
-    return docs.select(*keys, F.inline(spans))
+    return unpack(docs, keys, F.col(spans))
 
 
 def map_spans(docs: DataFrame, fn: Callable[[Column], Column], spans: str = "spans") -> DataFrame:

@@ -152,7 +152,7 @@ def table_cells(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     described = table_header(docs, text)
     lines = described.select(
         key, "header_line", "classes", "widths",
-        F.posexplode(lines_of(F.col(text))).alias("line_no", "line"),
+        F.posexplode_outer(lines_of(F.col(text))).alias("line_no", "line"),
     )
     lines = lines.repartition(F.col(key), F.col("line_no"))
     is_table = F.size("widths") > 0
@@ -166,7 +166,7 @@ def table_cells(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     lines = lines.withColumn("kind", kind)
     pieces = F.when(F.col("kind") == "cell", parse_row(F.col("line"))).otherwise(F.array("line"))
     cells = lines.select(
-        key, "line_no", "kind", "classes", "widths", F.posexplode(pieces).alias("col_idx", "value"))
+        key, "line_no", "kind", "classes", "widths", F.posexplode_outer(pieces).alias("col_idx", "value"))
     plain = F.struct(
         (F.col("kind") == "text").alias("is_pii"), F.lit(None).cast("string").alias("entity_type"),
         F.lit(None).cast("string").alias("context"))
@@ -197,7 +197,7 @@ def process_table(docs: DataFrame, text: str = "text", key: str = "doc_id",
 def process_lines(docs: DataFrame, text: str = "text", key: str = "doc_id",
                   profile: Profile | None = None, min_score: float = C.TABLE_MIN_SCORE) -> DataFrame:
     """Sanitise line by line, for text without a table in it."""
-    lines = docs.select(key, F.posexplode(lines_of(F.col(text))).alias("line_no", "value"))
+    lines = docs.select(key, F.posexplode_outer(lines_of(F.col(text))).alias("line_no", "value"))
     lines = lines.repartition(F.col(key), F.col("line_no")).withColumn(
         "column_class", F.lit(None).cast(CLASS))
     done = sanitize_cells(lines, profile, min_score)

@@ -1 +1,97 @@
-"""Pending."""
+"""Audit chains over events, one per user."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from veilspark.operators import audit as a
+from veilspark.plans import fixtures as fx
+from veilspark.plans import oracles as o
+from veilspark.plans.catalog.registry import query
+from veilspark.sources import sinks
+
+_CHAIN = """chain AS (SELECT * FROM (WITH RECURSIVE e AS (SELECT user_id AS chain_id, event_id, event_type,
+ row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq FROM events),
+ c AS (SELECT chain_id, seq, event_id, event_type, repeat('0', 64) AS prev_hash,
+  sha256(concat_ws('|', event_id, chain_id, event_type, 'd', repeat('0', 64))) AS entry_hash FROM e WHERE seq = 0
+  UNION ALL SELECT e.chain_id, e.seq, e.event_id, e.event_type, c.entry_hash,
+  sha256(concat_ws('|', e.event_id, e.chain_id, e.event_type, 'd', c.entry_hash)) FROM c JOIN e ON e.chain_id = c.chain_id AND e.seq = c.seq + 1)
+ SELECT * FROM c))"""
+_TAMPERED = "t AS (SELECT * REPLACE (CASE WHEN event_id % 997 = 0 THEN 'X' ELSE event_type END AS event_type) FROM chain)"
+_CHECK = f"""k AS (SELECT *, CASE WHEN prev_hash <> coalesce(lag(entry_hash) OVER (PARTITION BY chain_id ORDER BY seq), repeat('0', 64)) THEN 'link'
+ WHEN entry_hash <> sha256(concat_ws('|', event_id, chain_id, event_type, 'd', prev_hash)) THEN 'hash' END AS failure FROM t)"""
+
+
+def _chain(spark, sf_dir):
+    return a.append(a.with_segments(fx.audit_log(spark, sf_dir), F.col("slot")))
+
+
+def _tampered(spark, sf_dir):
+    changed = F.col("timestamp").cast("long") % 997 == 0
+    return _chain(spark, sf_dir).withColumn("action", F.when(changed, F.lit("X")).otherwise(F.col("action")))
+
+
+@query("audit_hash", """SELECT event_id, sha256(concat_ws('|', event_id, user_id, event_type, 'd', repeat('0', 64))) AS entry_hash FROM events""")
+def audit_hash(spark, sf_dir):
+    log = fx.audit_log(spark, sf_dir)
+    digest = a.entry_hash(F.col("timestamp"), F.col("user"), F.col("action"), F.col("details"), F.lit("0" * 64))
+    return log.select(F.col("timestamp").cast("long").alias("event_id"), digest.alias("entry_hash"))
+
+
+@query("audit_append", f"WITH {_CHAIN} SELECT chain_id, seq, event_id, event_type AS action, prev_hash, entry_hash FROM chain")
+def audit_append(spark, sf_dir):
+    return _chain(spark, sf_dir).select(
+        "chain_id", "seq", F.col("timestamp").cast("long").alias("event_id"), "action", "prev_hash", "entry_hash")
+
+
+@query("audit_verify", f"WITH {_CHAIN}, {_TAMPERED}, {_CHECK} SELECT chain_id, count(*) AS entries, bool_and(failure IS NULL) AS is_valid FROM k GROUP BY chain_id")
+def audit_verify(spark, sf_dir):
+    return a.verify(_tampered(spark, sf_dir))
+
+
+@query("audit_first_break", f"""WITH {_CHAIN}, {_TAMPERED}, {_CHECK} SELECT chain_id, 0 AS segment, min(seq) AS seq, arg_min(failure, seq) AS failure
+ FROM k WHERE failure IS NOT NULL GROUP BY chain_id""")
+def audit_first_break(spark, sf_dir):
+    return a.first_break(_tampered(spark, sf_dir))
+
+
+@query("audit_entries", f"""WITH {_CHAIN} SELECT CAST(event_id AS VARCHAR) AS timestamp, CAST(chain_id AS VARCHAR) AS user, event_type AS action,
+ 'd' AS details, prev_hash, entry_hash FROM chain""")
+def audit_entries(spark, sf_dir):
+    return _chain(spark, sf_dir).select("timestamp", "user", "action", "details", "prev_hash", "entry_hash")
+
+
+@query("audit_count", "SELECT user_id AS chain_id, count(*) AS entries FROM events GROUP BY 1")
+def audit_count(spark, sf_dir):
+    return fx.audit_log(spark, sf_dir).groupBy("chain_id").agg(F.count("*").alias("entries"))
+
+
+@query("audit_load", "SELECT user_id AS chain_id, count(*) AS entries, true AS is_valid FROM events GROUP BY 1")
+def audit_load(spark, sf_dir):
+    """Write chains as JSON, read them back with a declared schema, verify."""
+    path = sinks.new_path(spark, "audit")
+    _chain(spark, sf_dir).drop("ord").write.json(path)
+    return a.verify(a.load_chain(spark, path))
+
+
+@query("audit_trail_for_scan", f"""WITH {o.ENT_CTE}, {o.FILES_CTE}, r AS (SELECT doc_id, count(*) AS n, {o.RISK} AS risk FROM ent GROUP BY doc_id),
+ s AS (SELECT doc_id, filename, lower(regexp_extract(filename, '\\.[^.]+$')) AS ft, coalesce(n, 0) AS n, coalesce(risk, 0) AS risk,
+ {o.level('coalesce(risk, 0)')} AS lv FROM files LEFT JOIN r USING (doc_id))
+ SELECT doc_id, 1 AS step, 'UPLOAD' AS action, concat('File uploaded: ', filename) AS details FROM s WHERE ft <> '.exe'
+ UNION ALL SELECT doc_id, 1, 'INPUT', concat('Direct text input: ', filename, ' (', length(filename), ' chars)') FROM s WHERE ft = '.exe'
+ UNION ALL SELECT doc_id, 2, 'ANALYZE', concat('Text analysis complete: ', n, ' entities, threat=', lv) FROM s WHERE ft = '.exe'
+ UNION ALL SELECT doc_id, 2, 'SQL_SANITIZE', concat('Sanitized SQL dump: ', filename) FROM s WHERE ft = '.sql'
+ UNION ALL SELECT doc_id, 3, 'REPORT', concat('SQL threat level: ', lv) FROM s WHERE ft = '.sql'
+ UNION ALL SELECT doc_id, 2, 'EXTRACT', concat('Extracted ', length(filename), ' chars from ', filename) FROM s WHERE ft NOT IN ('.sql', '.exe')
+ UNION ALL SELECT doc_id, 3, 'ANALYZE', concat('Detected ', n, ' PII entities in ', filename) FROM s WHERE ft NOT IN ('.sql', '.exe')
+ UNION ALL SELECT doc_id, 4, 'ENCRYPT', concat('Generated dual-state record for ', filename) FROM s WHERE ft NOT IN ('.sql', '.exe')
+ UNION ALL SELECT doc_id, 5, 'REPORT', concat('Threat level: ', lv, ' (score: ', printf('%.2f', risk), ')') FROM s WHERE ft NOT IN ('.sql', '.exe')""")
+def audit_trail_for_scan(spark, sf_dir):
+    """Files scored by their spans; unsupported ones stand for direct input."""
+    from veilspark.operators.risk import level_of
+    from veilspark.plans.catalog.views import scored_files
+
+    docs = scored_files(spark, sf_dir)
+    kind = F.when(F.col("file_type") == ".exe", F.lit("text")).otherwise(F.col("file_type"))
+    return a.scan_trail(docs.withColumn("file_type", kind).withColumn("text_length", F.length("filename"))
+                        .withColumn("threat_level", level_of(F.col("risk_score"))))

@@ -30,9 +30,9 @@ def matches(src: str, regex: str, scan: str = "text", lead: int = 0) -> str:
     With ``lead=1`` the regex spends one group on the character before a match.
     """
     heads = f"regexp_extract_all(scan, '{regex}', 1)" if lead else "list_transform(ms, lambda m: '')"
-    return f"""SELECT doc_id, text, CAST(at + length(h) AS INT) AS start_pos, CAST(at + length(m) AS INT) AS end_pos,
-  substr(text, CAST(at + length(h) + 1 AS BIGINT), length(m) - length(h)) AS value FROM (
-  SELECT doc_id, text, m, h, sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) - length(m) AS at FROM (
+    return f"""SELECT doc_id, text, CAST(pos0 + length(h) AS INT) AS start_pos, CAST(pos0 + length(m) AS INT) AS end_pos,
+  substr(text, CAST(pos0 + length(h) + 1 AS BIGINT), length(m) - length(h)) AS value FROM (
+  SELECT doc_id, text, m, h, sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) - length(m) AS pos0 FROM (
    SELECT doc_id, text, unnest(ms) AS m, unnest(hs) AS h, unnest(gs[1:len(ms)]) AS g, generate_subscripts(ms, 1) AS i FROM (
     SELECT doc_id, text, ms, {heads} AS hs, regexp_split_to_array(scan, '{regex}') AS gs FROM (
      SELECT doc_id, text, scan, regexp_extract_all(scan, '{regex}') AS ms FROM (
