@@ -38,29 +38,30 @@ def markable(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit(OPEN), F.lit(SAFE)), F.lit(CLOSE), F.lit(SAFE))
 
 
-def find_all(text: Column, regex: str) -> Column:
+def sql_string(value: str) -> str:
+    """A string literal in Spark SQL."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def find_all(text: str, regex: str) -> Column:
     """Every match of ``regex`` with its 0-based, half-open character offsets.
 
     One regex pass brackets the matches with marker characters; cutting at the
     opening marker and adding up the piece lengths yields the offsets. ``text``
-    must have gone through :func:`markable`.
+    names a column that went through :func:`markable`. Written as one SQL
+    expression, since it is built once per recognizer.
     """
-    marked = F.regexp_replace(text, F.lit(regex), F.lit(OPEN + "$0" + CLOSE))
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(MATCHES).alias("out"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        cut = F.instr(piece, CLOSE)
-        hit = F.struct(
-            acc["pos"].alias("start_pos"),
-            (acc["pos"] + cut - 1).alias("end_pos"),
-            F.substring(piece, 1, cut - 1).alias("value"),
-        )
-        return F.struct(
-            (acc["pos"] + F.length(piece) - F.when(cut > 0, 1).otherwise(0)).alias("pos"),
-            F.when(cut > 0, F.concat(acc["out"], F.array(hit))).otherwise(acc["out"]).alias("out"),
-        )
-
-    return F.aggregate(F.split(marked, OPEN, -1), start, step, lambda acc: acc["out"])
+    marked = f"regexp_replace({text}, {sql_string(regex)}, '{OPEN}$0{CLOSE}')"
+    cut = f"instr(p, '{CLOSE}')"
+    hit = (f"named_struct('start_pos', a.pos, 'end_pos', a.pos + {cut} - 1, "
+           f"'value', substring(p, 1, {cut} - 1))")
+    return F.expr(
+        f"aggregate(split({marked}, '{OPEN}', -1), "
+        f"named_struct('pos', 0, 'out', cast(array() as {MATCHES})), "
+        f"(a, p) -> named_struct("
+        f"'pos', a.pos + length(p) - if({cut} > 0, 1, 0), "
+        f"'out', if({cut} > 0, concat(a.out, array({hit})), a.out)), "
+        f"a -> a.out)")
 
 
 def unpack(df: DataFrame, keys: list[str], items: Column) -> DataFrame:

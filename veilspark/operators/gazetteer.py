@@ -23,7 +23,8 @@ def detect_places(docs: DataFrame, places: DataFrame, text: str = "text", key: s
     A small name table is broadcast, so no token is shuffled; a larger one is
     joined by the ordinary shuffle.
     """
-    tokens = unpack(docs, [key], find_all(markable(F.col(text)), TOKEN_REGEX))
+    staged = docs.withColumn("_scan", markable(F.col(text)))
+    tokens = unpack(staged, [key], find_all("_scan", TOKEN_REGEX))
     names = places.select("name").where(F.col("name").isNotNull()).distinct()
     hits = tokens.join(small(names), tokens["value"] == names["name"], "left_semi")
     return hits.select(key, F.lit("LOCATION").alias("entity_type"), "start_pos", "end_pos",

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark import config as C
-from veilspark.functions.text import contains_any, find_all, left_context, markable, unpack
+from veilspark.functions.text import contains_any, find_all, left_context, let, markable, unpack
 from veilspark.operators.patterns import Recognizer, bank_for
 
 SPANS = (
@@ -35,32 +35,50 @@ def make_span(start: Column, end: Column, entity_type: Column, score: Column, va
     )
 
 
-def _spans_of(text: Column, rec: Recognizer, boost: bool) -> Column:
-    """Scored matches of one recognizer in one text."""
+def _spans_of(scan: str, rec: Recognizer) -> Column:
+    """Scored matches of one recognizer in the text column ``scan``."""
 
     def to_span(m: Column) -> Column:
         return make_span(m["start_pos"], m["end_pos"], F.lit(rec.entity_type),
                          rec.score(m["value"]), m["value"])
 
-    found = F.filter(F.transform(find_all(text, rec.regex), to_span),
+    found = F.filter(F.transform(find_all(scan, rec.regex), to_span),
                      lambda s: s["score"].isNotNull())
-    if boost and rec.context:
-        found = F.transform(found, lambda s: boost_span(text, s, rec.context))
     if rec.hint is not None:
-        found = F.when(rec.hint(text), found).otherwise(no_spans())
+        found = F.when(rec.hint(F.col(scan)), found).otherwise(no_spans())
     return found
 
 
-def boosted_score(text: Column, start: Column, score: Column, words: list[str]) -> Column:
-    """Raise a score when a context word stands just before the span."""
-    near = contains_any(left_context(text, start, C.CONTEXT_CHARS, C.CONTEXT_TOKENS), words)
-    raised = F.least(F.greatest(score + C.CONTEXT_BOOST, F.lit(C.MIN_SCORE)), F.lit(1.0))
-    return F.when(score >= 1.0, score).when(near, F.round(raised, 4)).otherwise(score)
+def _context_words(bank: list[Recognizer]) -> dict[str, list[str]]:
+    words: dict[str, list[str]] = {}
+    for rec in bank:
+        if rec.context:
+            words[rec.entity_type] = [*words.get(rec.entity_type, []), *rec.context]
+    return words
 
 
-def boost_span(text: Column, span: Column, words: list[str]) -> Column:
-    return make_span(span["start_pos"], span["end_pos"], span["entity_type"],
-                     boosted_score(text, span["start_pos"], span["score"], words), span["value"])
+def boost_spans(spans: Column, text: Column, words: dict[str, list[str]]) -> Column:
+    """Raise a span's score when a context word of its type stands just before it."""
+    if not words:
+        return spans
+
+    def boost(s: Column) -> Column:
+        raised = F.least(F.greatest(s["score"] + C.CONTEXT_BOOST, F.lit(C.MIN_SCORE)), F.lit(1.0))
+
+        def rescored(ctx: Column) -> Column:
+            near = None
+            for entity_type, vocabulary in words.items():
+                is_type = s["entity_type"] == entity_type
+                hit = contains_any(ctx, list(dict.fromkeys(vocabulary)))
+                near = F.when(is_type, hit) if near is None else near.when(is_type, hit)
+            score = F.when(near, F.round(raised, 4)).otherwise(s["score"])
+            return make_span(s["start_pos"], s["end_pos"], s["entity_type"], score, s["value"])
+
+        before = left_context(text, s["start_pos"], C.CONTEXT_CHARS, C.CONTEXT_TOKENS)
+        open_score = (s["score"] < 1.0) & s["entity_type"].isin(list(words))
+        return F.when(open_score, let(before, rescored)).otherwise(s)
+
+    return F.transform(spans, boost)
 
 
 def detect(
@@ -76,9 +94,9 @@ def detect(
     wanted = C.REDACT_TYPES if types is None else types
     recognizers = bank_for(wanted, bank)
     staged = docs.withColumn("_scan", markable(F.coalesce(F.col(text), F.lit(""))))
-    scan = F.col("_scan")
-    parts = [_spans_of(scan, r, boost) for r in recognizers] or [no_spans()]
-    found = F.concat(*parts) if len(parts) > 1 else parts[0]
+    found = F.concat(no_spans(), *[_spans_of("_scan", r) for r in recognizers])
+    if boost:
+        found = boost_spans(found, F.col("_scan"), _context_words(recognizers))
     kept = F.filter(found, lambda s: s["score"] >= min_score)
     return staged.withColumn(out, F.array_sort(kept)).drop("_scan")
 

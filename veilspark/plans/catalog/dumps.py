@@ -13,7 +13,7 @@ from veilspark.plans.catalog.registry import query
 
 # In the generated dumps every INSERT is one line.
 _INSERT = r"INSERT INTO customers VALUES \([^\n]*\);"
-_FOUND = f"ins AS (SELECT *, start_pos + 29 - 3 AS values_start, substr(value, 27, length(value) - 27) AS values_section FROM ({o.matches('dumps', _INSERT)}))"
+_FOUND = f"ins AS (SELECT *, start_pos + 29 AS values_start, substr(value, 30, length(value) - 30) AS values_section FROM ({o.matches('dumps', _INSERT)}))"
 
 
 @query("extract_inserts", f"""WITH {o.DUMPS_CTE}, {_FOUND} SELECT doc_id, start_pos, end_pos, 'customers' AS table_name, values_start, values_section FROM ins""")
@@ -23,7 +23,7 @@ def extract_inserts(spark, sf_dir):
 
 @query("extract_literals", f"""WITH {o.DUMPS_CTE}, {_FOUND}, v AS (SELECT doc_id * 10000000 + start_pos AS doc_id, values_section AS text FROM ins),
  m AS ({o.matches('v', "''[^'']*''")}) SELECT CAST(floor(doc_id / 10000000) AS BIGINT) AS doc_id, doc_id % 10000000 AS insert_start, 'customers' AS table_name,
- doc_id % 10000000 + 26 AS values_start, substr(value, 2, length(value) - 2) AS value, start_pos AS literal_start, end_pos AS literal_end FROM m""")
+ doc_id % 10000000 + 29 AS values_start, substr(value, 2, length(value) - 2) AS value, start_pos AS literal_start, end_pos AS literal_end FROM m""")
 def extract_literals(spark, sf_dir):
     return d.extract_literals(d.extract_inserts(fx.sql_dumps(spark, sf_dir)))
 
