@@ -49,12 +49,23 @@ def _spans_of(scan: str, rec: Recognizer) -> Column:
     return found
 
 
-def _context_words(bank: list[Recognizer]) -> dict[str, list[str]]:
-    words: dict[str, list[str]] = {}
+def _layers(bank: list[Recognizer]) -> list[tuple[dict[str, list[str]], list[Recognizer]]]:
+    """Recognizers grouped so that one type has one vocabulary per group.
+
+    Those without context words form groups that are not boosted.
+    """
+    layers: list[tuple[dict[str, list[str]], list[Recognizer]]] = []
     for rec in bank:
+        for words, members in layers:
+            if bool(words) == bool(rec.context) and words.get(rec.entity_type, rec.context) == rec.context:
+                break
+        else:
+            words, members = {}, []
+            layers.append((words, members))
         if rec.context:
-            words[rec.entity_type] = [*words.get(rec.entity_type, []), *rec.context]
-    return words
+            words[rec.entity_type] = rec.context
+        members.append(rec)
+    return layers
 
 
 def boost_spans(spans: Column, text: Column, words: dict[str, list[str]]) -> Column:
@@ -69,7 +80,7 @@ def boost_spans(spans: Column, text: Column, words: dict[str, list[str]]) -> Col
             near = None
             for entity_type, vocabulary in words.items():
                 is_type = s["entity_type"] == entity_type
-                hit = contains_any(ctx, list(dict.fromkeys(vocabulary)))
+                hit = contains_any(ctx, vocabulary)
                 near = F.when(is_type, hit) if near is None else near.when(is_type, hit)
             score = F.when(near, F.round(raised, 4)).otherwise(s["score"])
             return make_span(s["start_pos"], s["end_pos"], s["entity_type"], score, s["value"])
@@ -94,10 +105,11 @@ def detect(
     wanted = C.REDACT_TYPES if types is None else types
     recognizers = bank_for(wanted, bank)
     staged = docs.withColumn("_scan", markable(F.coalesce(F.col(text), F.lit(""))))
-    found = F.concat(no_spans(), *[_spans_of("_scan", r) for r in recognizers])
-    if boost:
-        found = boost_spans(found, F.col("_scan"), _context_words(recognizers))
-    kept = F.filter(found, lambda s: s["score"] >= min_score)
+    groups = []
+    for words, members in _layers(recognizers):
+        hits = F.concat(no_spans(), *[_spans_of("_scan", r) for r in members])
+        groups.append(boost_spans(hits, F.col("_scan"), words) if boost else hits)
+    kept = F.filter(F.concat(no_spans(), *groups), lambda s: s["score"] >= min_score)
     return staged.withColumn(out, F.array_sort(kept)).drop("_scan")
 
 
