@@ -1,6 +1,7 @@
 """Expected results in DuckDB SQL."""
 
 from .quality_rules import BOILERPLATE, MAX_LOST, MAX_MARKS, MAX_REPEATED, MAX_STUTTER, MIN_WORDS, WINDOW
+from .templates import DEPTH, MIN_CONTEXTS, MIN_TOKENS, SIMILARITY, SPREAD
 
 _SPACE = r"\x20\x09-\x0D"
 
@@ -54,3 +55,53 @@ t AS (SELECT k, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (k) LEFT JOIN t USING (k)"""
+
+
+def line_templates(documents: str = "documents") -> str:
+    """Kept lines of op9, for a table of documents without repeated rows."""
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM {documents}),
+s AS (SELECT k, string_split(text, chr(10)) AS ls, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
+l AS (SELECT k, pos, ls[pos] AS line, coalesce(CASE WHEN pos > 1 THEN ls[pos - 1] END, '') || chr(10) || coalesce(ls[pos + 1], '') AS ctx FROM s),
+m AS (SELECT k, pos, line, ctx, list_transform(regexp_extract_all(line, '[^{_SPACE}]+'),
+        lambda t: CASE WHEN regexp_matches(t, '[0-9@/]') THEN '<*>' ELSE t END) AS tokens FROM l),
+p AS (SELECT k, pos, ctx, tokens, array_to_string(tokens, ' ') AS tpl, concat(len(tokens), ' ', array_to_string(tokens[1:{DEPTH}], ' ')) AS leaf
+      FROM m WHERE len(tokens) >= {MIN_TOKENS}),
+places AS (SELECT leaf, tpl, tokens, ctx, count(*) AS n FROM p GROUP BY ALL),
+counts AS (SELECT leaf, tpl, tokens, count(*) AS contexts, sum(n) AS n FROM places GROUP BY ALL),
+leaves AS (SELECT leaf FROM counts GROUP BY leaf HAVING count(*) > 1 AND sum(contexts) >= {MIN_CONTEXTS}),
+members AS (SELECT * FROM counts SEMI JOIN leaves USING (leaf)),
+tok AS (SELECT leaf, len(tokens) AS size, contexts, generate_subscripts(tokens, 1) AS pos, unnest(tokens) AS token FROM members),
+votes AS (SELECT leaf, size, pos, token, sum(contexts) AS v FROM tok WHERE pos > {DEPTH} GROUP BY ALL),
+best AS (SELECT leaf, size, pos, token FROM (SELECT *, row_number() OVER (PARTITION BY leaf, pos ORDER BY v DESC, CAST(token AS BLOB) DESC) AS r,
+        sum(v) OVER (PARTITION BY leaf, pos) AS total FROM votes) WHERE r = 1 AND 2 * v >= total),
+fixed AS (SELECT leaf, size, list(pos) AS spots, list(token) AS held FROM best GROUP BY leaf, size HAVING (count(*) + {DEPTH}) * 100 >= size * {SIMILARITY}),
+fits AS (SELECT members.leaf, tpl FROM members JOIN fixed USING (leaf)
+         WHERE len(list_filter(range(1, len(spots) + 1), lambda i: tokens[spots[i]] <> held[i])) = 0),
+spread AS (SELECT leaf, ctx, sum(n) AS n FROM places SEMI JOIN fits USING (leaf, tpl) GROUP BY ALL),
+general AS (SELECT leaf FROM spread GROUP BY leaf HAVING count(*) >= {MIN_CONTEXTS} AND count(*) * {SPREAD} >= sum(n)),
+gone AS (SELECT tpl FROM counts WHERE contexts >= {MIN_CONTEXTS} AND contexts * {SPREAD} >= n
+         UNION SELECT tpl FROM fits SEMI JOIN general USING (leaf)),
+dropped AS (SELECT k, pos FROM p SEMI JOIN gone USING (tpl)),
+rest AS (SELECT k, string_agg(line, chr(10) ORDER BY pos) AS text FROM l ANTI JOIN dropped USING (k, pos) GROUP BY k),
+n AS (SELECT k, count(*) AS n FROM dropped GROUP BY k)
+SELECT doc_id, CAST(CASE WHEN d.text = '' THEN 0 ELSE len(string_split(d.text, chr(10))) END AS BIGINT) AS n_lines,
+  CAST(coalesce(n.n, 0) AS BIGINT) AS n_dropped, sha256(coalesce(rest.text, '')) AS clean_sha256
+FROM d LEFT JOIN rest USING (k) LEFT JOIN n USING (k)"""
+
+
+def chats(conversations: str = "conversations") -> str:
+    """Events of op1: an assistant's turn is a call, the user's turn after it its result."""
+    return rf"""
+WITH c AS (SELECT conv_id, turn, role, text, concat('call_', conv_id, '_', turn) AS own, concat('call_', conv_id, '_', turn - 1) AS prior,
+        role = 'user' AND turn > 0 AS answers FROM {conversations}),
+e AS (SELECT *, exists(SELECT 1 FROM c AS a WHERE a.conv_id = c.conv_id AND a.role = 'assistant' AND a.turn = c.turn - 1) AS asked,
+        exists(SELECT 1 FROM c AS u WHERE u.conv_id = c.conv_id AND u.answers AND u.turn = c.turn + 1) AS answered FROM c)
+SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'call' WHEN answers THEN 'result' ELSE 'message' END AS kind,
+  CASE WHEN role = 'assistant' THEN CASE WHEN answered THEN 'linked' ELSE 'unanswered' END
+       WHEN answers THEN CASE WHEN asked THEN 'linked' ELSE 'orphan' END ELSE 'plain' END AS status,
+  turn AS at_turn, CAST(0 AS BIGINT) AS step,
+  CASE WHEN role = 'assistant' THEN length(text) BETWEEN 1 AND 400 END AS valid,
+  sha256(CASE WHEN role = 'assistant' THEN concat('{{"role":"assistant","tool_call":{{"arguments":{{"text":', CAST(to_json(text) AS VARCHAR), ',"turn":', turn, '}},"id":"', own, '","name":"reply"}}}}')
+       ELSE concat('{{"content":', CAST(to_json(text) AS VARCHAR), ',"role":"', role, '"', CASE WHEN answers THEN concat(',"tool_call_id":"', prior, '"') ELSE '' END, '}}') END) AS json_sha256
+FROM e"""

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, oracles, quality_rules
+from . import bpe, chat, decontaminate, oracles, pages, quality_model, quality_rules, templates, toxicity
 from .registry import ORACLES, QUERIES, query, read
 
 __all__ = ["ORACLES", "QUERIES", "VOCABULARY"]
@@ -20,12 +21,41 @@ def vocabulary_text(name: str = VOCABULARY) -> str:
         return f.read()
 
 
+#: What the calls in op1 must look like.
+TOOLS = [("reply", '{"type":"object","required":["turn","text"],"additionalProperties":false,"properties":{"turn":{"type":"integer","minimum":0},"text":{"type":"string","minLength":1,"maxLength":400}}}')]
+
+
+def tool_messages(conversations: DataFrame) -> DataFrame:
+    """The turns of conversations as messages: an assistant's turn calls ``reply``, the user's next turn is its result."""
+    call = F.concat_ws("_", F.lit("call"), "conv_id", F.col("turn"))
+    made = F.array(F.struct(call.alias("id"), F.lit("reply").alias("name"), F.to_json(F.struct("turn", "text")).alias("arguments")))
+    answers = F.when((F.col("role") == "user") & (F.col("turn") > 0), F.concat_ws("_", F.lit("call"), "conv_id", F.col("turn") - 1))
+    asked = F.col("role") == "assistant"
+    return conversations.select(
+        "conv_id", "turn", "role", F.when(~asked, F.col("text")).alias("content"), F.when(asked, made).alias("tool_calls"), answers.alias("tool_call_id"))
+
+
+@query("op1_tool_call_linking", oracles.chats())
+def op1_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message, call and result of every conversation, linked, ordered, checked and serialised."""
+    tools = spark.createDataFrame(TOOLS, "name string, schema string")
+    linked = chat.format_chats(tool_messages(read(spark, sf_dir, "conversations")), tools)
+    return linked.select("conv_id", "turn", "kind", "status", F.col("at").alias("at_turn"), F.col("step").cast("long").alias("step"), "valid", F.sha2("json", 256).alias("json_sha256"))
+
+
 @query("op2_bpe_codec")
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document; digests of ids and of decoded text."""
     return bpe.encode(read(spark, sf_dir, "documents"), vocabulary_text(), digest=True)
 
 
+@query("op3_ftrl_toxicity")
+def op3_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.toxicity(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
 @query("op4_line_first_cleaning", oracles.quality())
 def op4_line_first_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of every document."""
@@ -33,8 +63,28 @@ def op4_line_first_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 
 
+@query("op5_site_template_removal")
+def op5_site_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return pages.extract(read(spark, sf_dir, "pages")).drop("n_deleted")
+
+
 @query("op6_suffix_automaton_decontamination", oracles.contamination())
 def op6_suffix_automaton_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside a window of a test item."""
     found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return decontaminate.digest(found)
+
+
+@query("op7_subword_quality")
+def op7_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    docs = read(spark, sf_dir, "documents")
+    return quality_model.quality(docs, quality_model.train(docs, read(spark, sf_dir, "labels")))
+
+
+@query("op9_line_template_dedup", oracles.line_templates())
+def op9_line_template_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without lines of recurring templates."""
+    left = templates.drop_recurring_lines(read(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("clean_text", 256).alias("clean_sha256"))
