@@ -105,3 +105,18 @@ SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'call' WHEN answers THEN
   sha256(CASE WHEN role = 'assistant' THEN concat('{{"role":"assistant","tool_call":{{"arguments":{{"text":', CAST(to_json(text) AS VARCHAR), ',"turn":', turn, '}},"id":"', own, '","name":"reply"}}}}')
        ELSE concat('{{"content":', CAST(to_json(text) AS VARCHAR), ',"role":"', role, '"', CASE WHEN answers THEN concat(',"tool_call_id":"', prior, '"') ELSE '' END, '}}') END) AS json_sha256
 FROM e"""
+
+
+def near_duplicates(documents: str = "documents", words: int = 4, percent: int = 85) -> str:
+    """Components of op8: pairs of equal or similar sets, then the smallest id along links."""
+    return rf"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^{_SPACE}]+') AS w FROM {documents}),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + {words - 1}], ' ') AS sh FROM
+      (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - {words} + 2))) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s AS x JOIN s AS y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM p JOIN n AS na ON na.doc_id = a JOIN n AS nb ON nb.doc_id = b WHERE 100 * c >= {percent} * (na.n + nb.n - c)),
+u AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.c AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) AS m ON m.a = d.doc_id"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, oracles, pages, quality_model, quality_rules, templates, toxicity
+from . import bpe, chat, decontaminate, jaccard, oracles, pages, quality_model, quality_rules, templates, toxicity
 from .registry import ORACLES, QUERIES, query, read
 
 __all__ = ["ORACLES", "QUERIES", "VOCABULARY"]
@@ -83,6 +83,12 @@ def op7_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality(docs, quality_model.train(docs, read(spark, sf_dir, "labels")))
 
 
+@query("op8_adaptive_prefix_jaccard", oracles.near_duplicates())
+def op8_adaptive_prefix_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document."""
+    return jaccard.similar(read(spark, sf_dir, "documents"))
+
+
 @query("op9_line_template_dedup", oracles.line_templates())
 def op9_line_template_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without lines of recurring templates."""
