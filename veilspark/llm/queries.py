@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, jaccard, oracles, pages, quality_model, quality_rules, templates, toxicity
+from . import bpe, chat, decontaminate, jaccard, oracles, pages, quality_model, quality_rules, repeats, templates, toxicity
 from .registry import ORACLES, QUERIES, query, read
 
 __all__ = ["ORACLES", "QUERIES", "VOCABULARY"]
@@ -94,3 +94,9 @@ def op9_line_template_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without lines of recurring templates."""
     left = templates.drop_recurring_lines(read(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2("clean_text", 256).alias("clean_sha256"))
+
+
+@query("op10_interval_tree_repeats")
+def op10_interval_tree_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document outside strings that repeat."""
+    return repeats.remove_repeats(read(spark, sf_dir, "documents"), digest=True)
