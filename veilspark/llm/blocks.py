@@ -29,9 +29,24 @@ SAME = np.arange(256, dtype=np.uint8)
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 
 
-def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Two columns, ``id`` and ``text`` (null text: empty); other columns stay outside."""
-    return docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+def rows_of(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
+    """Columns ``id`` and ``text`` (null text: empty), and with ``carry`` all others as ``row``.
+
+    Operators see these names alone, so columns of the table cannot clash with theirs.
+    """
+    rows = [F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")]
+    return docs.select(*rows, *([F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("row")] if carry else []))
+
+
+def carried(docs: DataFrame, text_col: str) -> str:
+    """Type of the ``row`` that rows_of carries."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col))).schema[0].dataType.simpleString()
+
+
+def restored(found: DataFrame, docs: DataFrame, text_col: str, text: str, chars_col: str = "n_chars") -> DataFrame:
+    """The columns of ``docs`` from carried rows, with ``text`` as the new text and its length where docs has one."""
+    new = {text_col: F.col(text), chars_col: F.length(text).cast("long")}
+    return found.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def id_type(docs: DataFrame, id_col: str) -> str:
@@ -39,10 +54,10 @@ def id_type(docs: DataFrame, id_col: str) -> str:
 
 
 class Block:
-    """Documents of one block: ``ids``, their bytes in ``buf``, and where each starts (one more at the end)."""
+    """Documents of one block: ``ids``, their bytes in ``buf``, where each starts (one more at the end), other columns in ``rest``."""
 
-    def __init__(self, ids: pa.Array, buf: np.ndarray, starts: np.ndarray):
-        self.ids, self.buf, self.starts = ids, buf, starts
+    def __init__(self, ids: pa.Array, buf: np.ndarray, starts: np.ndarray, rest: list[pa.Array]):
+        self.ids, self.buf, self.starts, self.rest = ids, buf, starts, rest
 
     def __len__(self) -> int:
         return len(self.starts) - 1
@@ -62,7 +77,8 @@ def cut(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Iterator
         first = 0
         while first < len(text):
             last = max(first + 1, int(np.searchsorted(at, at[first] + limit, "right")) - 1)
-            yield Block(ids.slice(first, last - first), data[at[first]:at[last]], at[first:last + 1] - at[first])
+            rest = [c.slice(first, last - first) for c in batch.columns[2:]]
+            yield Block(ids.slice(first, last - first), data[at[first]:at[last]], at[first:last + 1] - at[first], rest)
             first = last
 
 

@@ -178,35 +178,39 @@ def vocabulary(text: str) -> Vocabulary:
     return _loaded[key]
 
 
-def encode(docs: DataFrame, vocabulary_text: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+def encode(docs: DataFrame, vocabulary_text: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, with_decoded: bool = False) -> DataFrame:
     """One row per document: its id, ``n_tokens`` and ``ids`` (array of int), or with ``digest`` hashes instead of ids.
 
     ``vocabulary_text`` is the content of a byte-level BPE file, a few MB whatever the corpus.
     Null and empty texts have no ids. Repeated rows give repeated results. With ``digest``:
-    ``ids_sha256`` of the ids as little-endian 32-bit integers, ``decoded`` of the ids.
+    ``ids_sha256`` of the ids as little-endian 32-bit integers, ``decoded_sha256`` of the text
+    they decode to; ``with_decoded`` gives the latter beside the ids.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary_text)
     kind = id_type(docs, id_col)
-    schema = f"`{id_col}` {kind}, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>")
+    schema = f"`{id_col}` {kind}, n_tokens long, " + ("ids_sha256 string" if digest else "ids array<int>") + (", decoded_sha256 string" if digest or with_decoded else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(shared.value)
         for block in cut(batches):
-            yield _result(vocab, block, id_col, digest)
+            yield _result(vocab, block, id_col, digest, with_decoded)
 
     return rows_of(docs, id_col, text_col).mapInArrow(run, schema)
 
 
-def _result(vocab: Vocabulary, block: Block, id_col: str, digest: bool) -> pa.RecordBatch:
+def _result(vocab: Vocabulary, block: Block, id_col: str, digest: bool, with_decoded: bool) -> pa.RecordBatch:
     packed = vocab.encode([block.bytes_of(k).decode("utf-8", "replace") for k in range(len(block))])
     counts = np.array([len(x) // 4 for x in packed], np.int64)
-    if not digest:
-        ids = pa.array(np.frombuffer(b"".join(packed), "<i4"))
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), ids)
-        return pa.RecordBatch.from_arrays([block.ids, pa.array(counts), lists], [id_col, "n_tokens", "ids"])
-    sha = [hashlib.sha256(x).hexdigest() for x in packed]
-    back = [hashlib.sha256(vocab.decode(np.frombuffer(x, "<u4")).encode()).hexdigest() for x in packed]
-    return pa.RecordBatch.from_arrays([block.ids, pa.array(counts), pa.array(sha, pa.string()), pa.array(back, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+    columns = {id_col: block.ids, "n_tokens": pa.array(counts)}
+    if digest:
+        columns["ids_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in packed], pa.string())
+    else:
+        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        columns["ids"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+    if digest or with_decoded:
+        texts = (vocab.decode(np.frombuffer(x, "<u4")) for x in packed)
+        columns["decoded_sha256"] = pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string())
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
 def decode(encoded: DataFrame, vocabulary_text: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import LOWER, NON_ALNUM, Block, cut, hash_spans, id_type, mix, rows_of, spans
+from .blocks import LOWER, NON_ALNUM, Block, carried, cut, hash_spans, id_type, mix, rows_of, spans
 
 WINDOW = 10
 ITEM_BYTES = 1 << 20
@@ -194,19 +194,20 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, item_bytes:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-                  item_text_col: str = "text", window: int = WINDOW, item_bytes: int = ITEM_BYTES, with_text: bool = False) -> DataFrame:
+                  item_text_col: str = "text", window: int = WINDOW, item_bytes: int = ITEM_BYTES, with_text: bool = False, carry: bool = False) -> DataFrame:
     """One row per document: id, ``n_words``, ``n_hit`` words, ``n_items``, ``items`` (sorted as strings), ``hits``.
 
     ``hits`` are the maximal ranges of hit words, half open. With ``with_text`` the column
     ``clean_text`` holds the text without the bytes from the first to the last word of each
     range. Null and empty texts have no words and no hits; items without words or without an
     id are no items. Repeated documents give repeated results unless the items need several
-    blocks, where rows of one id are united (ids must then be unique).
+    blocks, where rows of one id are united (ids must then be unique). ``carry`` adds the
+    table's other columns as ``row``.
     """
     spark, kind = docs.sparkSession, id_type(docs, id_col)
     blocks = item_blocks(benchmark, item_col, item_text_col, item_bytes)
     schema = f"`{id_col}` {kind}, n_words long, n_hit long, n_items long, items array<string>, hits array<struct<first:long,last:long>>"
-    parts = [_one_pass(docs, spark.sparkContext.broadcast(b), window, id_col, text_col, schema, with_text and len(blocks) == 1) for b in blocks]
+    parts = [_one_pass(docs, spark.sparkContext.broadcast(b), window, id_col, text_col, schema, with_text and len(blocks) == 1, carry and len(blocks) == 1) for b in blocks]
     if len(parts) == 1:
         return parts[0]
     every = parts[0]
@@ -220,10 +221,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         F.max("n_words").alias("n_words"), merged.alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     n_hit = F.expr("aggregate(hits, 0L, (n, h) -> n + h.last - h.first)")
     united = united.select(id_col, "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "hits")
-    return _without(docs, united, id_col, text_col) if with_text else united
+    return _without(docs, united, id_col, text_col, with_text, carry) if with_text or carry else united
 
 
-def _one_pass(docs: DataFrame, items, window: int, id_col: str, text_col: str, schema: str, with_text: bool) -> DataFrame:
+def _one_pass(docs: DataFrame, items, window: int, id_col: str, text_col: str, schema: str, with_text: bool, carry: bool) -> DataFrame:
     names = [id_col, "n_words", "n_hit", "n_items", "items", "hits"]
     pair = pa.struct([("first", pa.int64()), ("last", pa.int64())])
 
@@ -237,9 +238,10 @@ def _one_pass(docs: DataFrame, items, window: int, id_col: str, text_col: str, s
                 pa.array([[{"first": a, "last": b} for a, b in r[2]] for r in rows], pa.list_(pair))]
             if with_text:
                 columns.append(pa.array([remove_words(block.bytes_of(k), r[2]) for k, r in enumerate(rows)], pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, names + ["clean_text"] * with_text)
+            yield pa.RecordBatch.from_arrays(columns + block.rest, names + ["clean_text"] * with_text + ["row"] * carry)
 
-    return rows_of(docs, id_col, text_col).mapInArrow(run, schema + ", clean_text string" * with_text)
+    schema += ", clean_text string" * with_text + (f", row {carried(docs, text_col)}" if carry else "")
+    return rows_of(docs, id_col, text_col, carry).mapInArrow(run, schema)
 
 
 def remove_words(text: bytes, hits: list[tuple[int, int]]) -> str:
@@ -255,16 +257,20 @@ def remove_words(text: bytes, hits: list[tuple[int, int]]) -> str:
     return b"".join([*kept, text[at:]]).decode("utf-8", "replace")
 
 
-def _without(docs: DataFrame, united: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    kind = id_type(docs, id_col)
-    rows = rows_of(docs, id_col, text_col).join(united.select(F.col(id_col).alias("id"), "hits"), "id")
+def _without(docs: DataFrame, united: DataFrame, id_col: str, text_col: str, with_text: bool, carry: bool) -> DataFrame:
+    """Adds to the united rows, each by its id, the text without hits and the table's other columns."""
+    rows = rows_of(docs, id_col, text_col, carry).join(united.withColumnRenamed(id_col, "key"), F.col("id").eqNullSafe(F.col("key")))
+    rows = rows.select("id", "text", "hits", *(["row"] if carry else []), *(F.col(c) for c in ("n_words", "n_hit", "n_items", "items")))
+    names = [id_col, "hits", *(["row"] if carry else []), "n_words", "n_hit", "n_items", "items", "clean_text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [remove_words(t.encode(), [(h["first"], h["last"]) for h in hits]) for t, hits in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], [id_col, "clean_text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(texts, pa.string())], names)
 
-    return united.join(rows.mapInArrow(run, f"`{id_col}` {kind}, clean_text string"), id_col)
+    schema = f"`{id_col}` {id_type(docs, id_col)}, hits array<struct<first:long,last:long>>" + (f", row {carried(docs, text_col)}" if carry else "")
+    found = rows.mapInArrow(run, schema + ", n_words long, n_hit long, n_items long, items array<string>, clean_text string")
+    return found if with_text else found.drop("clean_text")
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -95,15 +95,11 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", id_col: s
     chosen = sample(docs, labels, target, rows, id_col, text_col).select("turn", "text", "label")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for block in cut(iter([batch])):
-                kinds, bounds = grams(block)
-                rows = [_row(kinds, bounds, k) for k in range(len(block))]
-                yield pa.RecordBatch.from_arrays([
-                    block.ids, pa.array([r[0].astype("<i4").tobytes() for r in rows], pa.binary()),
-                    pa.array([r[1].astype("<i4").tobytes() for r in rows], pa.binary()), batch.column(2).slice(at, len(block))], ["turn", "buckets", "counts", "label"])
-                at += len(block)
+        for block in cut(batches):
+            kinds, bounds = grams(block)
+            rows = [_row(kinds, bounds, k) for k in range(len(block))]
+            packed = [pa.array([r[k].astype("<i4").tobytes() for r in rows], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([block.ids, *packed, block.rest[0]], ["turn", "buckets", "counts", "label"])
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("turn", kind="stable")

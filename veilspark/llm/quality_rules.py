@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .blocks import SPACE, Block, U, chain, cut, hash_spans, id_type, mix, rows_of, spans, within
+from .blocks import SPACE, Block, U, carried, chain, cut, hash_spans, id_type, mix, rows_of, spans, within
 
 #: Fixed values of the base counts: symbols, words of a window, least words, most repeated words in percent.
 SYMBOLS, WINDOW, MIN_WORDS, MAX_REPEATED = b"#*$%&|<>", 8, 20, 30
@@ -132,15 +132,17 @@ def _texts(block: Block, lines: tuple[np.ndarray, ...]) -> list[str]:
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, carry: bool = False) -> DataFrame:
     """One row per document: id, base counts, ``base_failed``, ``kept``, ``n_lines``, ``n_failed_lines`` and ``clean_text``.
 
     ``kept`` is false for documents that fail the base rules or lose too much text; their
     ``clean_text`` is given all the same. Null and empty texts have no words: counts 0, base
-    failed, not kept, empty text. Repeated rows give repeated results.
+    failed, not kept, empty text. Repeated rows give repeated results. ``carry`` adds the
+    table's other columns as ``row``.
     """
     schema = f"`{id_col}` {id_type(docs, id_col)}, " + ", ".join(f"{c} long" for c in COUNTS)
     schema += ", base_failed boolean, kept boolean, n_lines long, n_failed_lines long" + (", clean_text string" if with_text else "")
+    schema += f", row {carried(docs, text_col)}" if carry else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in cut(batches):
@@ -149,6 +151,6 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
             columns = [block.ids, *(pa.array(found[c]) for c in names)]
             if with_text:
                 columns.append(pa.array(_texts(block, found["lines"]), pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, [id_col, *names, *(["clean_text"] if with_text else [])])
+            yield pa.RecordBatch.from_arrays(columns + block.rest, [id_col, *names, *(["clean_text"] if with_text else []), *(["row"] if carry else [])])
 
-    return rows_of(docs, id_col, text_col).mapInArrow(run, schema)
+    return rows_of(docs, id_col, text_col, carry).mapInArrow(run, schema)

@@ -213,10 +213,12 @@ class Repeats:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(windows, pa.list_(pa.int64())), pa.array(first, pa.int32())], ["anchor", "context", "windows", "left"])
 
         rows = self.surroundings(chosen).select("anchor", "context", "before", "after").mapInArrow(run, "anchor long, context long, windows array<long>, left int")
-        single = store(rows.dropDuplicates(["anchor", "context"]).select("anchor", "context", "left", F.posexplode("windows").alias("start", "window")), "windows")
-        twice = single.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        held = single.join(twice, ["anchor", "window"], "left_semi")
-        return held.select("anchor", "context", (F.col("left") - F.col("start")).cast("int").alias("l"), (F.col("start") + length - F.col("left")).cast("int").alias("r"))
+        single = rows.dropDuplicates(["anchor", "context"]).select("anchor", "context", "left", F.posexplode("windows").alias("start", "window"))
+        # Windows at one offset from the anchor: those of different contexts start at different places.
+        single = store(single.select("anchor", "context", "window", (F.col("left") - F.col("start")).alias("l")), "windows")
+        twice = single.groupBy("anchor", "window", "l").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        held = single.join(twice, ["anchor", "window", "l"], "left_semi")
+        return held.select("anchor", "context", F.col("l").cast("int").alias("l"), (F.lit(length) - F.col("l")).cast("int").alias("r"))
 
     def ranges(self) -> DataFrame:
         """(key, ranges): the bytes of each document inside repeats, as begin and end, unordered and overlapping."""

@@ -81,15 +81,12 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", id_col: str
     chosen = sample(docs, labels, target, rows, id_col, text_col).select("turn", "text", "label")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for block in cut(iter([batch])):
-                buckets, owner = features(block)
-                keys = np.unique(owner * BUCKETS + buckets)
-                edges = np.searchsorted(keys, np.arange(len(block) + 1) * BUCKETS)
-                rows = [(keys[a:b] % BUCKETS).astype("<i4").tobytes() for a, b in zip(edges, edges[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([block.ids, pa.array(rows, pa.binary()), batch.column(2).slice(at, len(block))], ["turn", "features", "label"])
-                at += len(block)
+        for block in cut(batches):
+            buckets, owner = features(block)
+            keys = np.unique(owner * BUCKETS + buckets)
+            edges = np.searchsorted(keys, np.arange(len(block) + 1) * BUCKETS)
+            rows = [(keys[a:b] % BUCKETS).astype("<i4").tobytes() for a, b in zip(edges, edges[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([block.ids, pa.array(rows, pa.binary()), block.rest[0]], ["turn", "features", "label"])
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("turn", kind="stable")
