@@ -182,8 +182,8 @@ class Join:
             ends = np.append(first[1:], len(rows))
             some = ends - first > 1
             out = [rows[a:b] for a, b in zip(first[some].tolist(), ends[some].tolist(), strict=True)]
-            return pd.DataFrame({
-                "keys": [r["key"].tolist() for r in out], "sizes": [r["n"].tolist() for r in out], "matches": [r["m"].tolist() for r in out]}, columns=["keys", "sizes", "matches"])
+            columns = {"keys": "key", "sizes": "n", "matches": "m"}
+            return pd.DataFrame({c: pd.Series([r[f].tolist() for r in out], dtype=object) for c, f in columns.items()})
 
         packs = prefixes.select("key", "n", "m", "rare").mapInArrow(pack, "part int, data binary")
         found = packs.groupBy("part").applyInPandas(gather, "keys array<long>, sizes array<int>, matches array<int>")

@@ -114,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", id_col: s
 def quality(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: id, ``held_out``, ``score`` from 0 to 1, ``predicted``.
 
-    Null and empty texts score the bias alone. Repeated rows give repeated results. A null id is not held out.
+    Null and empty texts score the bias alone; white space has its runs of bytes. Repeated rows give repeated results. A null id is not held out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

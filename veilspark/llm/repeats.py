@@ -193,7 +193,7 @@ class Repeats:
             for a, b in zip(edges.tolist(), ends.tolist(), strict=True):
                 if b - a > 1:
                     out += [(anchors[a], contexts[a + i], l, r) for i, l, r, _ in maximal_repeats(before[a:b], after[a:b], length)]
-            return pd.DataFrame(out, columns=["anchor", "context", "l", "r"])
+            return pd.DataFrame(np.array(out, np.int64).reshape(-1, 4), columns=["anchor", "context", "l", "r"])
 
         rows = self.surroundings(chosen).withColumn("part", F.pmod(F.xxhash64("anchor"), F.lit(8 * int(self.spark.conf.get("spark.sql.shuffle.partitions")))))
         return rows.select("part", "anchor", "context", "before", "after").groupBy("part").applyInPandas(scan, "anchor long, context long, l int, r int")

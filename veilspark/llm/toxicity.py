@@ -23,7 +23,7 @@ from .blocks import LOWER, NON_ALNUM, Block, U, cut, hash_spans, id_type, mix, r
 from .labels import held_out, sample
 
 BUCKETS, SAMPLE_ROWS, EPOCHS = 1 << 18, 12_000, 4
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 8.0, 0.1
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.1
 STEMS = (4, 5, 6)
 THRESHOLD = 0.7
 
