@@ -7,7 +7,7 @@ from veilspark.functions import crypto as c
 from veilspark.functions import masking as m
 from veilspark.functions.checksums import luhn_valid, verhoeff_valid
 from veilspark.functions.text import decode_text
-from veilspark.operators.audit import append, first_break, verify, with_segments
+from veilspark.operators.audit import anchors, append, first_break, load_chain, tails, verify
 from veilspark.operators.dumps import extract_inserts, extract_literals, sanitize_dump
 from veilspark.operators.patterns import aadhaar_valid, ipv6_valid, pan_valid
 from veilspark.operators.risk import actions_of, level_of, risk_score
@@ -181,19 +181,66 @@ def test_actions(spark):
     assert got == [3, 4, 5, 6, 3]
 
 
-def test_audit_segments_and_breaks(spark):
-    log = spark.range(50).select(
-        F.lit(1).cast("long").alias("chain_id"), F.col("id").alias("ord"), F.col("id").cast("string").alias("timestamp"),
-        F.lit("u").alias("user"), F.lit("A").alias("action"), F.lit("d").alias("details"))
-    chain = append(with_segments(log, F.floor(F.col("ord") / 5), rows=20)).persist()
-    assert sorted(r["count"] for r in chain.groupBy("segment").count().collect()) == [10, 20, 20]
-    assert verify(chain).collect()[0].is_valid
+def audit_rows(spark, n, lanes=2):
+    return spark.range(n).select(
+        F.lit(1).cast("long").alias("chain_id"), F.format_string("d/%s", F.col("id") % lanes).alias("lane"), F.col("id").alias("ord"),
+        F.col("id").cast("string").alias("timestamp"), F.lit("u").alias("user"), F.lit("A").alias("action"), F.lit("d").alias("details"))
+
+
+def test_audit_notices_changes_and_losses(spark):
+    chain = append(audit_rows(spark, 50)).persist()
+    kept = anchors(chain).persist()
+    state = lambda df: tuple(verify(df, kept).collect()[0])[1:]
+    broken = lambda df: tuple(first_break(df, kept).collect()[0])
+    assert state(chain) == (50, True) and first_break(chain, kept).count() == 0
     edited = chain.withColumn("details", F.when(F.col("ord") == 33, "x").otherwise(F.col("details")))
-    assert not verify(edited).collect()[0].is_valid
-    assert tuple(first_break(edited).collect()[0]) == (1, 1, 13, "hash")
-    removed = chain.where(F.col("ord") != 3)
-    assert tuple(first_break(removed).collect()[0]) == (1, 0, 4, "link")
-    assert verify(chain.limit(0)).count() == 0
+    assert state(edited) == (50, False) and broken(edited) == (1, "d/1", 16, "hash")
+    removed = chain.where(F.col("ord") != 4)
+    assert state(removed) == (49, False) and broken(removed) == (1, "d/0", 3, "link")
+    assert verify(removed).collect()[0].is_valid is False
+    shorter = chain.where(F.col("ord") < 48)
+    assert state(shorter) == (48, False) and broken(shorter) == (1, "d/0", 24, "anchor")
+    assert state(chain.where("lane = 'd/0'")) == (25, False)
+    assert state(chain.union(chain.where("ord = 7"))) == (51, False)
+    assert not verify(chain, kept.withColumn("details", F.lit("9 x"))).collect()[0].is_valid
+    assert verify(chain.limit(0), kept.limit(0)).count() == 0 and tuple(verify(chain.limit(0), kept).collect()[0]) == (1, 0, False)
+
+
+def test_audit_continues_stored_chains(spark):
+    log = audit_rows(spark, 40)
+    first = append(log.where("ord < 21"))
+    both = first.unionByName(append(log.where("ord >= 21"), tails(first)))
+    assert sorted(both.collect()) == sorted(append(log).collect())
+
+
+def test_audit_of_one_busy_chain(spark):
+    """One lane far beyond any batch: one chain whatever its length, in linear time."""
+    import hashlib
+    import time
+
+    took = []
+    for n in (10_000, 40_000):
+        start = time.perf_counter()
+        rows = append(audit_rows(spark, n, lanes=1)).select("seq", "prev_hash", "entry_hash").collect()
+        took.append(time.perf_counter() - start)
+        last = "0" * 64
+        for k, row in enumerate(sorted(rows)):
+            mine = hashlib.sha256(f"{k}|u|A|d|{last}".encode()).hexdigest()
+            assert tuple(row) == (k, last, mine)
+            last = mine
+    assert took[1] < 8 * took[0] + 2
+
+
+def test_audit_load_keeps_damaged_lines(spark, tmp_path):
+    chain = append(audit_rows(spark, 10, lanes=1))
+    lines = chain.drop("ord").toJSON().collect()
+    kept = anchors(chain)
+    whole, damaged = tmp_path / "whole.json", tmp_path / "damaged.json"
+    whole.write_text("\n".join(lines))
+    damaged.write_text("\n".join([*lines[:-1], lines[-1][:40]]))
+    assert [tuple(r) for r in verify(load_chain(spark, str(whole)), kept).collect()] == [(1, 10, True)]
+    got = {r.chain_id: (r.entries, r.is_valid) for r in verify(load_chain(spark, str(damaged)), kept).collect()}
+    assert got == {1: (9, False), None: (1, False)}
 
 
 DUMP = (

@@ -156,24 +156,26 @@ CONTEXT_WORDS = {
 }
 
 # Given names.
-FIRST_NAMES = (
-    "aarav aditi akash amit ananya anil anita anjali arjun arun deepak deepika "
-    "dev diya gaurav geeta harsh ishaan ishita jai karan kavya krishna lakshmi "
-    "manish maya meera mohan mukesh nandini naveen neha nikhil nisha pankaj "
-    "pooja priya priyanka rahul raj rajesh rakesh ram ravi rekha ritu rohan "
-    "rohit sakshi sandeep sanjay sara sarita shikha shiva shreya simran sneha "
-    "sonia sudha sunil sunita suresh swati tanvi tara uma varun vijay vikram "
-    "vinod vivek yash"
-).split()
+FIRST_NAMES = [
+    "aarav", "aditi", "akash", "amit", "ananya", "anil", "anita", "anjali", "arjun", "arun",
+    "deepak", "deepika", "dev", "diya", "gaurav", "geeta", "harsh", "ishaan", "ishita", "jai",
+    "karan", "kavya", "krishna", "lakshmi", "manish", "maya", "meera", "mohan", "mukesh", "nandini",
+    "naveen", "neha", "nikhil", "nisha", "pankaj", "pooja", "priya", "priyanka", "rahul", "raj",
+    "rajesh", "rakesh", "ram", "ravi", "rekha", "ritu", "rohan", "rohit", "sakshi", "sandeep",
+    "sanjay", "sara", "sarita", "shikha", "shiva", "shreya", "simran", "sneha", "sonia", "sudha",
+    "sunil", "sunita", "suresh", "swati", "tanvi", "tara", "uma", "varun", "vijay", "vikram",
+    "vinod", "vivek", "yash",
+]
 # Family names.
-LAST_NAMES = (
-    "agarwal arora banerjee bhat bhatt chakraborty chand chandra chatterjee "
-    "chauhan chopra das desai devi dutta gandhi ghosh goyal gupta iyer jain "
-    "joshi kaur khan khanna kohli krishnamurthy kumar lal mahajan malik mehta "
-    "menon mishra mukherjee nair nanda kapoor pandey patel prasad rao rastogi "
-    "reddy roy sachdev sahni saxena sen sethi shah sharma shukla singh sinha "
-    "srivastava subramanian tiwari trivedi varma verma yadav"
-).split()
+LAST_NAMES = [
+    "agarwal", "arora", "banerjee", "bhat", "bhatt", "chakraborty", "chand", "chandra",
+    "chatterjee", "chauhan", "chopra", "das", "desai", "devi", "dutta", "gandhi", "ghosh", "goyal",
+    "gupta", "iyer", "jain", "joshi", "kaur", "khan", "khanna", "kohli", "krishnamurthy", "kumar",
+    "lal", "mahajan", "malik", "mehta", "menon", "mishra", "mukherjee", "nair", "nanda", "kapoor",
+    "pandey", "patel", "prasad", "rao", "rastogi", "reddy", "roy", "sachdev", "sahni", "saxena",
+    "sen", "sethi", "shah", "sharma", "shukla", "singh", "sinha", "srivastava", "subramanian",
+    "tiwari", "trivedi", "varma", "verma", "yadav",
+]
 
 # Valid holder codes and rejected prefixes of a tax number.
 PAN_HOLDER_CODES = "ABCFGHLJPT"
@@ -197,6 +199,7 @@ NON_PII_HEADERS = [
 
 # ---- audit ------------------------------------------------------------------
 GENESIS_HASH = "0" * 64
-AUDIT_SEGMENT_ROWS = 10_000
+# Fixed value of the stored format: lanes of a day's entries.
+AUDIT_LANES = 4
 
 STATUSES = ["uploaded", "processing", "completed", "failed", "quarantined"]

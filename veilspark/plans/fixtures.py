@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROWS_PER_DOC = 60
+from veilspark.operators.audit import lane_of
 
 KYC = """
 SELECT k AS doc_id,
@@ -138,7 +138,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as audit entries, one chain per user."""
+    """Events as audit entries, chained per user and lane."""
     return load(spark, sf_dir, "events").select(
         F.col("user_id").alias("chain_id"),
         F.struct("ts", "event_id").alias("ord"),
@@ -146,7 +146,7 @@ def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").cast("string").alias("user"),
         F.col("event_type").alias("action"),
         F.lit("d").alias("details"),
-        F.date_trunc("hour", "ts").alias("slot"),
+        lane_of(F.col("ts"), F.col("event_id")).alias("lane"),
     )
 
 
