@@ -24,7 +24,7 @@ MIN_SCORE = 0.4
 TABLE_MIN_SCORE = 0.3
 CONTEXT_BOOST = 0.35
 CONTEXT_TOKENS = 5
-CONTEXT_CHARS = 256
+CONTEXT_CHARS = 256  # looked at first; more if they hold too few words
 
 # Risk weight per entity type; any other type weighs 1.
 RISK_WEIGHTS = {

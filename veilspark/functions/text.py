@@ -43,6 +43,17 @@ def sql_string(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+# Long arrays are worked on in blocks: appending to an array copies it, so a fold over
+# all elements would be quadratic. Blocks keep the copies short.
+BLOCK = 256
+
+
+def blocks_of(items: str) -> str:
+    """SQL: an array cut into blocks of ``BLOCK`` elements; no block for an empty array."""
+    return (f"if(size({items}) = 0, array(), transform(sequence(0, cast((size({items}) - 1) div {BLOCK} as int)), "
+            f"b -> slice({items}, b * {BLOCK} + 1, {BLOCK})))")
+
+
 def find_all(text: str, regex: str) -> Column:
     """Every match of ``regex`` with its 0-based, half-open character offsets.
 
@@ -53,15 +64,17 @@ def find_all(text: str, regex: str) -> Column:
     """
     marked = f"regexp_replace({text}, {sql_string(regex)}, '{OPEN}$0{CLOSE}')"
     cut = f"instr(p, '{CLOSE}')"
+    width = f"(length(p) - if({cut} > 0, 1, 0))"
     hit = (f"named_struct('start_pos', a.pos, 'end_pos', a.pos + {cut} - 1, "
            f"'value', substring(p, 1, {cut} - 1))")
+    starts = (f"aggregate(bs, named_struct('pos', 0, 'out', cast(array() as array<int>)), (a, b) -> named_struct("
+              f"'pos', a.pos + aggregate(b, 0, (n, p) -> n + {width}), 'out', concat(a.out, array(a.pos))), a -> a.out)")
+    inner = (f"aggregate(b, named_struct('pos', at, 'out', cast(array() as {MATCHES})), "
+             f"(a, p) -> named_struct('pos', a.pos + {width}, "
+             f"'out', if({cut} > 0, concat(a.out, array({hit})), a.out)), a -> a.out)")
     return F.expr(
-        f"aggregate(split({marked}, '{OPEN}', -1), "
-        f"named_struct('pos', 0, 'out', cast(array() as {MATCHES})), "
-        f"(a, p) -> named_struct("
-        f"'pos', a.pos + length(p) - if({cut} > 0, 1, 0), "
-        f"'out', if({cut} > 0, concat(a.out, array({hit})), a.out)), "
-        f"a -> a.out)")
+        f"transform(array(split({marked}, '{OPEN}', -1)), ps -> transform(array({blocks_of('ps')}), "
+        f"bs -> flatten(zip_with(bs, {starts}, (b, at) -> {inner})))[0])[0]")
 
 
 def unpack(df: DataFrame, keys: list[str], items: Column) -> DataFrame:
@@ -88,13 +101,17 @@ def window_text(text: Column, start: Column, end: Column, width: int) -> Column:
 
 
 def left_context(text: Column, start: Column, chars: int, tokens: int) -> Column:
-    """The last ``tokens`` words, lower-cased, of the ``chars`` characters before a span."""
-    n = F.least(start, F.lit(chars))
-    before = F.lower(F.substring(text, start - n + 1, n))
-    words = F.split(F.btrim(before, F.lit(" \t\r\n")), "[ \\t\\r\\n]+")
-    return let(
-        words,
-        lambda w: F.array_join(
-            F.slice(w, F.greatest(F.size(w) - tokens, F.lit(0)) + 1, tokens), " "
-        ),
-    )
+    """The last ``tokens`` words, lower-cased, before a span.
+
+    ``chars`` characters are enough as a rule; if they hold fewer words, all that
+    stands before the span is looked at.
+    """
+    def words(n: Column) -> Column:
+        before = F.lower(F.substring(text, start - n + 1, n))
+        return F.split(F.btrim(before, F.lit(" \t\r\n")), "[ \\t\\r\\n]+")
+
+    near = F.least(start, F.lit(chars))
+    # The first of the words may be cut, so one more is asked for.
+    enough = lambda w: F.when((start <= chars) | (F.size(w) > tokens), w).otherwise(words(start))
+    return let(let(words(near), enough), lambda w: F.array_join(
+        F.slice(w, F.greatest(F.size(w) - tokens, F.lit(0)) + 1, tokens), " "))

@@ -5,27 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.functions.text import find_all, markable, unpack
+from veilspark.functions.text import find_all, markable
 
 TOKEN_REGEX = r"[\p{L}\p{N}_]+"
-BROADCAST_ROWS = 100_000
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that the side is small enough."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+MAX_WORDS = 4
 
 
 def detect_places(docs: DataFrame, places: DataFrame, text: str = "text", key: str = "doc_id",
-                  score: float = 0.6) -> DataFrame:
-    """Tokens that equal a name of ``places(name)``, as LOCATION spans.
+                  score: float = 0.6, max_words: int = MAX_WORDS) -> DataFrame:
+    """Runs of up to ``max_words`` words that equal a name of ``places(name)``, as LOCATION spans.
 
-    A small name table is broadcast, so no token is shuffled; a larger one is
-    joined by the ordinary shuffle.
+    Words of a run stand one space apart. The join is left to the optimizer: it
+    broadcasts names by their measured size, or shuffles runs.
     """
-    staged = docs.withColumn("_scan", markable(F.col(text)))
-    tokens = unpack(staged, [key], find_all("_scan", TOKEN_REGEX))
+    staged = docs.withColumn("_scan", markable(F.col(text))).select(key, "_scan", find_all("_scan", TOKEN_REGEX).alias("_t"))
+    tokens = staged.select(key, "_scan", "_t", F.posexplode("_t").alias("_i", "w"))
+    last = F.least(F.col("_i") + max_words, F.size("_t")) - 1
+    runs = tokens.select(key, "_scan", F.col("w.start_pos").alias("start_pos"), F.explode(F.transform(
+        F.sequence(F.col("_i"), last), lambda j: F.get("_t", j)["end_pos"])).alias("end_pos"))
+    value = F.substring("_scan", F.col("start_pos") + 1, F.col("end_pos") - F.col("start_pos"))
     names = places.select("name").where(F.col("name").isNotNull()).distinct()
-    hits = tokens.join(small(names), tokens["value"] == names["name"], "left_semi")
+    runs = runs.select(key, "start_pos", "end_pos", value.alias("value"))
+    hits = runs.join(names, runs["value"] == names["name"], "left_semi")
     return hits.select(key, F.lit("LOCATION").alias("entity_type"), "start_pos", "end_pos",
                        F.lit(score).alias("score"), "value")

@@ -126,11 +126,19 @@ EMAIL_REGEX = (
     r"(?<![\p{L}\p{N}_.%+-])[\p{L}\p{N}_.%+-]++@[\p{L}\p{N}-]+"
     r"(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
 )
-CARD_REGEX = guarded(r"[0-9](?:[ -]?[0-9]){12,18}")
+# Card numbers as issuers group them; digits after a further separator (a code, an expiry) stay outside.
+CARD_REGEX = guarded(
+    r"[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{19}|[0-9]{13,16}"
+)
 PHONE_REGEX = guarded(
     r"(?:\+[0-9]{1,3}[ -]?)?(?:\([0-9]{3}\)[ -]?|[0-9]{3}[ -])?[0-9]{3}[ -]?[0-9]{4}"
 )
-PHONE_IN_REGEX = guarded(r"\+91[ -]?[0-9]{10}")
+PHONE_IN_REGEX = guarded(r"\+91[ -]?[0-9]{5}[ -]?[0-9]{5}")
+# Mobiles of ten digits, together or 5-5, landlines with their trunk code.
+PHONE_LOCAL_REGEX = guarded(
+    r"[6-9][0-9]{9}|[6-9][0-9]{4}[ -][0-9]{5}|0[0-9]{2,4}[ -][0-9]{6,8}"
+)
+MONTHS = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec|January|February|March|April|June|July|August|September|October|November|December)"
 SSN_REGEX = guarded(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")
 IPV4_REGEX = guarded(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}")
 IPV6_REGEX = (
@@ -142,11 +150,14 @@ DATE_REGEX = guarded(
     r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2})?)?"
     r"|[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}"
     r"|[0-9]{1,2}-[A-Z][a-z]+-[0-9]{4}"
+    r"|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}"
+    rf"|{MONTHS} [0-9]{{1,2}},? [0-9]{{4}}|[0-9]{{1,2}} {MONTHS},? [0-9]{{4}}"
 )
 FREQUENCY_REGEX = "(?i)" + guarded("|".join(C.FREQUENCY_WORDS))
 URL_REGEX = NOT_AFTER_WORD + r"https?://[^\s\"'<>]+"
 AADHAAR_REGEX = guarded(r"[2-9][0-9]{3}\s[0-9]{4}\s[0-9]{4}")
 AADHAAR_RUN_REGEX = guarded(r"[2-9][0-9]{11}")
+# How tax numbers, names and device hashes are written.
 PAN_REGEX = guarded(r"[A-Z]{5}[0-9]{4}[A-Z]")
 PERSON_REGEX = guarded(r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3}")
 BIOMETRIC_REGEX = guarded(
@@ -161,6 +172,8 @@ BANK: list[Recognizer] = [
                C.CONTEXT_WORDS["PHONE_NUMBER"]),
     Recognizer("PHONE_NUMBER", PHONE_IN_REGEX, constant(0.75), has("+91"),
                C.CONTEXT_WORDS["PHONE_NUMBER"]),
+    Recognizer("PHONE_NUMBER", PHONE_LOCAL_REGEX, constant(0.4), has_digits(3),
+               C.CONTEXT_WORDS["PHONE_NUMBER"]),
     Recognizer("US_SSN", SSN_REGEX, when_valid(ssn_valid, 0.85), has_digits(3),
                C.CONTEXT_WORDS["US_SSN"]),
     Recognizer("IP_ADDRESS", IPV4_REGEX, when_valid(ipv4_valid, 0.6), has_digits(1),

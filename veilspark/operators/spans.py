@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark import config as C
-from veilspark.functions.text import contains_any, find_all, left_context, let, markable, unpack
+from veilspark.functions.text import BLOCK, contains_any, find_all, left_context, let, markable, unpack
 from veilspark.operators.patterns import Recognizer, bank_for
 
 SPANS = (
@@ -141,8 +141,9 @@ def _by_preference(spans: Column) -> Column:
 
 
 def resolve(spans: Column) -> Column:
-    """Left-to-right greedy choice of disjoint spans from one array."""
-    start = F.struct(F.lit(0).alias("last"), no_spans().alias("out"))
+    """Left-to-right greedy choice of disjoint spans from one array, block by block."""
+    def start(last: Column) -> Column:
+        return F.struct(last.alias("last"), no_spans().alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         free = s["start_pos"] >= acc["last"]
@@ -151,10 +152,21 @@ def resolve(spans: Column) -> Column:
             F.when(free, F.concat(acc["out"], F.array(s))).otherwise(acc["out"]).alias("out"),
         )
 
-    picked = F.aggregate(_by_preference(spans), start, step, lambda acc: acc["out"])
+    def block(acc: Column, b: Column) -> Column:
+        return let(F.aggregate(b, start(acc["last"]), step), lambda done: F.struct(
+            done["last"].alias("last"), F.concat(acc["out"], F.array(done["out"])).alias("out")))
+
+    first = F.struct(F.lit(0).alias("last"), F.array().cast(f"array<{SPANS}>").alias("out"))
+    picked = let(_by_preference(spans), lambda s: F.flatten(F.aggregate(_blocks(s), first, block, lambda acc: acc["out"])))
     return F.when(F.size(spans) > 1, picked).otherwise(spans)
 
 
+def _blocks(items: Column) -> Column:
+    """An array, not empty, cut into blocks."""
+    last = ((F.size(items) - 1) / BLOCK).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))
+
+
 def dedup(docs: DataFrame, spans: str = "spans") -> DataFrame:
     return docs.withColumn(spans, resolve(F.col(spans)))
 
@@ -184,13 +196,17 @@ def dedup_entities(entities: DataFrame, key: str = "doc_id") -> DataFrame:
 def stitch(text: Column, spans: Column, replacement: Callable[[Column], Column]) -> Column:
     """Text with every (disjoint, sorted) span replaced.
 
-    Both arguments should be plain columns: they are read once per span.
+    Finding a character walks the text from its start, so the text is cut once for each
+    block of spans, and a block's spans walk their own piece alone.
     """
-    def gap_and_tag(s: Column, i: Column) -> Column:
-        prev = F.coalesce(F.get(spans, i - 1)["end_pos"], F.lit(0))
-        return F.concat(F.substring(text, prev + 1, s["start_pos"] - prev), replacement(s))
-
-    last = F.coalesce(F.get(spans, F.size(spans) - 1)["end_pos"], F.lit(0))
-    tail = F.substring(text, last + 1, F.length(text))
-    body = F.concat(F.array_join(F.transform(spans, gap_and_tag), ""), tail)
+    def piece(b: Column, i: Column) -> Column:
+        first = F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i * BLOCK - 1)["end_pos"])
+        last = F.element_at(b, -1)["end_pos"]
+        return let(F.struct(F.substring(text, first + 1, last - first).alias("text"), first.alias("first")), lambda part: F.array_join(
+            F.transform(b, lambda s, k: let(
+                F.when(k == 0, part["first"]).otherwise(F.get(b, k - 1)["end_pos"]),
+                lambda prev: F.concat(F.substring(part["text"], prev - part["first"] + 1, s["start_pos"] - prev), replacement(s)))), ""))
+
+    tail = F.substring(text, F.element_at(spans, -1)["end_pos"] + 1, F.length(text))
+    body = F.concat(F.array_join(F.transform(_blocks(spans), piece), ""), tail)
     return F.when(F.size(spans) == 0, text).otherwise(body)

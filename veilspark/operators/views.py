@@ -80,7 +80,7 @@ def search_files(docs: DataFrame, entities: DataFrame | None = None, name: str |
                  entity_type: str | None = None) -> DataFrame:
     """Files by name part, upload range and contained entity type."""
     if name is not None:
-        docs = docs.where(F.col("filename").ilike(f"%{name}%"))
+        docs = docs.where(F.contains(F.lower("filename"), F.lit(name.lower())))
     if since is not None:
         docs = docs.where(F.col("uploaded_at") >= F.lit(since).cast("timestamp"))
     if until is not None:

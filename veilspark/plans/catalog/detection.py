@@ -50,11 +50,12 @@ def detect_spans(spark, sf_dir):
     return explode_spans(detect(fx.documents(spark, sf_dir), types=o.DOC_TYPES), ["doc_id"]).select(COLS)
 
 
-@query("detect_url", f"""WITH src AS (SELECT page_id AS doc_id, concat('see ', url, ' there') AS text FROM pages)
+@query("detect_url", f"""WITH src AS (SELECT page_id AS doc_id, concat(url, chr(10), html) AS text FROM pages)
  SELECT {COL_SQL} FROM ({o.spans('src', ['URL'])})""")
 def detect_url(spark, sf_dir):
+    """Addresses and whole sources of pages."""
     pages = fx.load(spark, sf_dir, "pages").select(
-        F.col("page_id").alias("doc_id"), F.concat(F.lit("see "), "url", F.lit(" there")).alias("text"))
+        F.col("page_id").alias("doc_id"), F.concat("url", F.lit("\n"), "html").alias("text"))
     return explode_spans(detect(pages, types=["URL"]), ["doc_id"]).select(COLS)
 
 
@@ -85,8 +86,8 @@ def aadhaar_rules(spark, sf_dir):
 
 
 @query("detect_location_gazetteer", f"""WITH {o.KYC_CTE}, places AS (SELECT n_name AS name FROM nation UNION SELECT r_name FROM region)
- SELECT doc_id, 'LOCATION' AS entity_type, start_pos, end_pos, CAST(0.6 AS DOUBLE) AS score, value
- FROM ({o.matches('kyc', '[0-9A-Za-z_]+')}) WHERE value IN (SELECT name FROM places)""")
+ SELECT doc_id, 'LOCATION' AS entity_type, CAST(strpos(text, name) - 1 AS INT) AS start_pos, CAST(strpos(text, name) - 1 + length(name) AS INT) AS end_pos,
+ CAST(0.6 AS DOUBLE) AS score, name AS value FROM kyc JOIN places ON regexp_matches(text, concat('\\b', name, '\\b'))""")
 def detect_location(spark, sf_dir):
     places = fx.load(spark, sf_dir, "nation").select(F.col("n_name").alias("name")).union(
         fx.load(spark, sf_dir, "region").select("r_name"))

@@ -86,7 +86,7 @@ def scan_errors(spark, sf_dir):
 def _arrivals(spark, sf_dir):
     """Documents written out with an arrival time, as a stream source."""
     path = sinks.new_path(spark, "arrivals")
-    when = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") * 60)
+    when = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id"))
     fx.documents(spark, sf_dir).withColumn("arrived_at", when).write.parquet(path)
     return st.arriving(spark, path, "doc_id long, text string, arrived_at timestamp")
 
@@ -104,16 +104,20 @@ def scan_stream(spark, sf_dir):
     return _drain(spark, stream, "stream", "doc_id long, masked_text string, entity_count int, risk_score double, threat_level string")
 
 
-@query("stream_dedup", "SELECT count(DISTINCT text) AS contents FROM documents")
+@query("stream_dedup", "SELECT DISTINCT sha256(text) AS file_hash FROM documents")
 def stream_dedup(spark, sf_dir):
-    """Distinct contents seen by a stream whose watermark spans all arrivals."""
-    stream = st.dedup_content(_arrivals(spark, sf_dir), delay="3650 days").select("doc_id", "file_hash")
-    rows = _drain(spark, stream, "dedup", "doc_id long, file_hash string")
-    return rows.agg(F.count("*").alias("contents"))
+    """Each content once, by a stream that remembers hashes for a day."""
+    stream = st.dedup_content(_arrivals(spark, sf_dir), delay="1 day").select("doc_id", "file_hash")
+    return _drain(spark, stream, "dedup", "doc_id long, file_hash string").select("file_hash")
 
 
-@query("stream_threat_trend")
+@query("stream_threat_trend", f"""WITH {_scan_sql('documents')} SELECT (1700000000 + doc_id) // 600 * 600 AS window_start, threat_level, count(*) AS files FROM res GROUP BY ALL""")
 def stream_threat_trend(spark, sf_dir):
-    """Windows the watermark has closed; the newest stay open by design."""
+    """Documents by ten minutes and level, open windows included."""
     scanned = st.scan_stream(_arrivals(spark, sf_dir)).select("arrived_at", "threat_level")
-    return _drain(spark, st.threat_trend(scanned), "trend", "window_start timestamp, threat_level string, files long")
+    trend = st.threat_trend(scanned, width="10 minutes", delay="1 day")
+    path = sinks.new_path(spark, "trend")
+    st.write_updates(trend, path, sinks.new_path(spark, "trend-checkpoint")).awaitTermination()
+    updates = spark.read.schema("window_start timestamp, threat_level string, files long, batch int").parquet(path)
+    latest = st.latest_groups(updates, ["window_start", "threat_level"], ["files"])
+    return latest.withColumn("window_start", F.col("window_start").cast("long"))

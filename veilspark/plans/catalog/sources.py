@@ -9,7 +9,7 @@ from veilspark.operators.sanitize import sanitize_text
 from veilspark.operators.tables import sanitize_columns
 from veilspark.plans import fixtures as fx
 from veilspark.plans import oracles as o
-from veilspark.plans.catalog.crypto import keys
+from veilspark.plans.catalog.crypto import TEST_KEYS
 from veilspark.plans.catalog.masking import KYC_SCAN, SANITIZED
 from veilspark.plans.catalog.registry import query
 from veilspark.plans.scan import store_scan
@@ -149,7 +149,7 @@ def write_records(spark, sf_dir):
     docs = fx.kyc(spark, sf_dir).select(
         "doc_id", F.concat(F.lit("kyc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"),
         F.lit(".txt").alias("file_type"), "text")
-    written = store_scan(docs, sinks.new_path(spark, "scan"), *keys(spark))
+    written = store_scan(docs, sinks.new_path(spark, "scan"), *TEST_KEYS)
     counts = [spark.read.parquet(path).agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n")
               for name, path in written.items() if name != "scanned"]
     out = counts[0]

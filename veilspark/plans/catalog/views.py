@@ -93,11 +93,11 @@ def dash_user_stats(spark, sf_dir):
     return v.user_stats(scored_files(spark, sf_dir))
 
 
-@query("search_files", f"""WITH {o.ENT_CTE}, {o.FILES_CTE} SELECT doc_id, filename FROM files WHERE filename ILIKE '%1%.txt%'
+@query("search_files", f"""WITH {o.ENT_CTE}, {o.FILES_CTE} SELECT doc_id, filename FROM files WHERE contains(lower(filename), '1.txt')
  AND uploaded_at >= TIMESTAMP '1996-01-01' AND uploaded_at < TIMESTAMP '1999-01-01'
  AND doc_id IN (SELECT doc_id FROM ent WHERE entity_type = 'IN_AADHAAR')""")
 def search_files(spark, sf_dir):
-    found = v.search_files(fx.files(spark, sf_dir), fx.entities(spark, sf_dir), "1%.txt",
+    found = v.search_files(fx.files(spark, sf_dir), fx.entities(spark, sf_dir), "1.TXT",
                            "1996-01-01", "1999-01-01", "IN_AADHAAR")
     return found.select("doc_id", "filename")
 

@@ -93,17 +93,21 @@ def person_score(value: str) -> str:
 
 # type -> list of (regex, lead group, condition, base score)
 _LEAD = "(^|[^0-9A-Za-z_])"
+_MONTH = ("Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sept?|September|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?")
 DETECTORS: dict[str, list[tuple[str, int, str, str]]] = {
     "EMAIL_ADDRESS": [(r"[\p{L}\p{N}_.%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}", 0, "true", "1.0")],
-    "CREDIT_CARD": [(r"\b[0-9](?:[ -]?[0-9]){12,18}\b", 0, luhn("value"), "1.0")],
+    "CREDIT_CARD": [(r"\b(?:(?:[0-9]{4}[ -]){3}[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13}|[0-9]{14}|[0-9]{15}|[0-9]{16}|[0-9]{19})\b",
+                     0, luhn("value"), "1.0")],
     "PHONE_NUMBER": [
         (_LEAD + r"(?:\+[0-9]{1,3}[ -]?)?(?:\([0-9]{3}\)[ -]?|[0-9]{3}[ -])?[0-9]{3}[ -]?[0-9]{4}\b", 1, "true", "0.4"),
-        (_LEAD + r"\+91[ -]?[0-9]{10}\b", 1, "true", "0.75")],
+        (_LEAD + r"\+91[ -]?[0-9]{5}[ -]?[0-9]{5}\b", 1, "true", "0.75"),
+        (_LEAD + r"(?:[6-9][0-9]{4}[ -]?[0-9]{5}|0[0-9]{2}[0-9]?[0-9]?[ -][0-9]{6}[0-9]?[0-9]?)\b", 1, "true", "0.4")],
     "US_SSN": [(r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0, ssn_ok("value"), "0.85")],
     "IP_ADDRESS": [(r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b", 0, ip_ok("value"), "0.6")],
     "DATE_TIME": [
-        (r"\b(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}|[0-9]{1,2}-[A-Z][a-z]+-[0-9]{4})\b",
-         0, "true", "0.6"),
+        (r"\b(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}|[0-9]{1,2}-[A-Z][a-z]+-[0-9]{4}"
+         r"|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}"
+         r"|(?:" + _MONTH + r") [0-9]{1,2},? [0-9]{4}|[0-9]{1,2} (?:" + _MONTH + r"),? [0-9]{4})\b", 0, "true", "0.6"),
         (r"(?i)\b(?:" + "|".join(C.FREQUENCY_WORDS) + r")\b", 0, "true", "0.6")],
     "URL": [(r"\bhttps?://[^\s\"''<>]+", 0, "true", "0.6")],
     "IN_AADHAAR": [(r"\b[2-9][0-9]{3}\s[0-9]{4}\s[0-9]{4}\b", 0, aadhaar_ok("value"), "1.0"),
@@ -113,7 +117,7 @@ DETECTORS: dict[str, list[tuple[str, int, str, str]]] = {
     "PERSON": [(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3}\b", 0, "true", person_score("value"))],
 }
 
-_BEFORE = "lower(substr(text, CAST(greatest(start_pos - 256, 0) + 1 AS BIGINT), CAST(least(start_pos, 256) AS BIGINT)))"
+_BEFORE = "lower(substr(text, 1, CAST(start_pos AS BIGINT)))"
 CONTEXT = (f"array_to_string(regexp_split_to_array(trim({_BEFORE}, ' ' || chr(9) || chr(10) || chr(13)), "
            f"'[ \\t\\r\\n]+')[-5:], ' ')")
 

@@ -42,3 +42,21 @@ def write_stream(df: DataFrame, path: str, checkpoint: str, mode: str = "append"
     writer = df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
     return writer.start(path)
+
+
+def write_updates(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Changed groups of every batch, each batch in a folder of its own; a repeated batch replaces its folder.
+
+    Takes what is there and stops. Windows that are still open are written like closed ones.
+    """
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return (df.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).foreachBatch(write).start())
+
+
+def latest_groups(updates: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """The last written values of each group."""
+    last = F.max_by(F.struct(*values), "batch").alias("last")
+    return updates.groupBy(*keys).agg(last).select(*keys, "last.*")
