@@ -35,8 +35,10 @@ from .blocks import LOWER, SPACE, Block, U, chain, cut, hash_spans, id_type, row
 from .components import components
 
 WORDS, PERCENT = 4, 85
-RARE, MAX_COMMON, MAX_MATCHES, FLUSH, WANTED_BITS = 32, 1_500_000, 8, 1_500_000, 24
-_POSTING = np.dtype([("token", "<i8"), ("key", "<i8"), ("n", "<i4"), ("m", "<i4")])
+RARE, MAX_COMMON, MAX_MATCHES, FLUSH, WANTED_BITS, PART, MAX_BROADCAST = 32, 1_500_000, 8, 1_500_000, 24, 512, 500_000
+
+#: A packed posting: 32 bits of the shingle beside those that name its part, the class, 8 * set size + matches - 1.
+_POSTING = np.dtype([("token", "<u4"), ("key", "<i8"), ("size", "<u4")])
 
 
 def document_sets(block: Block, k: int) -> Iterator[np.ndarray]:
@@ -79,20 +81,24 @@ class Join:
         return self.rows.mapInArrow(run, f"id {kind}, n long, key long")
 
     def common(self) -> tuple[np.ndarray, np.ndarray, int]:
-        """Leading bits of shingles in more than RARE documents (sorted), their document counts, bits cut off."""
+        """Leading bits of shingles in more than RARE documents (sorted), their document counts, bits cut off.
+
+        Copies count, too: that may make a shingle look more common than it is among classes,
+        which costs time, not results.
+        """
         words, bits = self.words, self.parts.bit_length() - 1
-        shift = max(0, 32 - bits)
-        low = (1 << 32) - 1 if shift else (1 << (64 - bits)) - 1
+        shift = max(0, 40 - bits)  # 24 bits beside those of the part: a few shingles in a hundred meet another's
 
         def packed(found: list[np.ndarray]) -> pa.RecordBatch:
             keys, counts = np.unique(np.concatenate(found) >> U(shift), return_counts=True)
             part = (keys >> U(64 - shift - bits)).astype(np.int64)
             edges = np.flatnonzero(np.diff(part, prepend=-1))
             ends = [*edges[1:].tolist(), len(keys)]
-            short, many = (keys & U(low)).astype("<u4" if shift else "<u8"), np.minimum(counts, 65535).astype("<u2")
+            short = np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :3])
+            many = np.minimum(counts, 255).astype(np.uint8)
             return pa.RecordBatch.from_arrays([
                 pa.array(part[edges].astype(np.int32)), pa.array([short[a:b].tobytes() for a, b in zip(edges.tolist(), ends, strict=True)], pa.binary()),
-                pa.array([many[a:b].tobytes() for a, b in zip(edges.tolist(), ends, strict=True)], pa.binary())], ["part", "tokens", "counts"])
+                pa.array([_sparse(many[a:b]) for a, b in zip(edges.tolist(), ends, strict=True)], pa.binary())], ["part", "tokens", "counts"])
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found: list[np.ndarray] = []
@@ -107,17 +113,17 @@ class Join:
             if size:
                 yield packed(found)
 
-        kind = "<u4" if shift else "<u8"
-
         def total(pdf: pd.DataFrame) -> pd.DataFrame:
-            tokens, counts = np.frombuffer(b"".join(pdf.tokens), kind), np.frombuffer(b"".join(pdf["counts"]), "<u2")
+            raw = [np.frombuffer(t, np.uint8).reshape(-1, 3).astype(np.uint32) for t in pdf.tokens]
+            tokens = np.concatenate([t[:, 0] | t[:, 1] << 8 | t[:, 2] << 16 for t in raw])
+            counts = np.concatenate([_dense(c, len(t)) for c, t in zip(pdf["counts"], raw, strict=True)])
             order = np.argsort(tokens, kind="stable")
             tokens = tokens[order]
-            first = np.flatnonzero(np.diff(tokens, prepend=tokens[:1] + 1))
-            sums = np.add.reduceat(counts[order].astype(np.int64), first)
+            first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
+            sums = np.add.reduceat(counts[order], first)
             some = sums > RARE
-            top = (np.uint64(pdf.part.iloc[0]) << U(32 if shift else 64 - bits)) | tokens[first][some].astype(U)
-            return pd.DataFrame({"token": top.view(np.int64), "docs": sums[some]})
+            lead = (np.uint64(pdf.part.iloc[0]) << U(24)) | tokens[first][some].astype(U)
+            return pd.DataFrame({"token": lead.view(np.int64), "docs": sums[some]})
 
         counted = self.rows.mapInArrow(count, "part int, tokens binary, counts binary").groupBy("part").applyInPandas(total, "token long, docs long")
         counted = store(counted, "common")
@@ -128,28 +134,19 @@ class Join:
         order = np.argsort(tokens)
         return tokens[order], found.docs.to_numpy(np.int64)[order], shift
 
-    def prefixes(self) -> DataFrame:
-        """(key, n, m, rare, common) of every class: set size, matches asked for, prefix shingles."""
-        shared = self.spark.sparkContext.broadcast(self.common())
-        words, percent = self.words, self.percent
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = shared.value
-            for block in cut(batches):
-                rows = [(class_key(s), len(s), *prefix(s, percent, *table)) for s in document_sets(block, words) if len(s)]
-                keys, sizes, matches, rare, common = list(zip(*rows, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(matches, pa.int32()), _lists(rare), _lists(common)], ["key", "n", "m", "rare", "common"])
-
-        return self.rows.mapInArrow(run, "key long, n int, m int, rare array<long>, common array<long>").dropDuplicates(["key"])
-
-    def lists(self, prefixes: DataFrame) -> DataFrame:
-        """Posting lists of two members or more: (members, times), equal lists united."""
-        parts = self.parts
-
-        def packed(found: list[np.ndarray]) -> pa.RecordBatch:
-            rows = np.concatenate(found)
-            part = rows["token"] & (parts - 1)
+    def prefixes(self, table) -> DataFrame:
+        """(part, data): packed prefix postings of rare shingles, once per class and flush."""
+        words, percent, parts = self.words, self.percent, self.parts
+        bits = parts.bit_length() - 1
+
+        def packed(found: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch:
+            lengths = [len(f[3]) for f in found]
+            tokens = np.concatenate([f[3] for f in found])
+            rows = np.empty(len(tokens), _POSTING)
+            rows["token"] = (tokens >> U(bits)).astype(np.uint32)
+            rows["key"] = np.repeat(np.array([f[0] for f in found], np.int64), lengths)
+            rows["size"] = np.repeat(np.array([8 * f[1] + f[2] - 1 for f in found], np.uint32), lengths)
+            part = (tokens & U(parts - 1)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             rows, part = rows[order], part[order]
             edges = np.flatnonzero(np.diff(part, prepend=-1))
@@ -157,38 +154,51 @@ class Join:
             return pa.RecordBatch.from_arrays([
                 pa.array(part[edges].astype(np.int32)), pa.array([rows[a:b].tobytes() for a, b in zip(edges.tolist(), ends, strict=True)], pa.binary())], ["part", "data"])
 
-        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found: list[np.ndarray] = []
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: dict[int, tuple[int, int, int, np.ndarray]] = {}
             size = 0
-            for batch in batches:
-                tokens = batch.column(3)
-                lengths = np.diff(tokens.offsets.to_numpy())
-                rows = np.empty(int(lengths.sum()), _POSTING)
-                rows["token"] = tokens.flatten().to_numpy()
-                for k, name in enumerate(("key", "n", "m")):
-                    rows[name] = np.repeat(batch.column(k).to_numpy(), lengths)
-                found.append(rows)
-                size += len(rows)
+            for block in cut(batches):
+                for s in document_sets(block, words):
+                    if len(s) and (key := class_key(s)) not in found:
+                        m, rare, _ = prefix(s, percent, *table.value)
+                        found[key] = (key, len(s), m, rare)
+                        size += len(rare)
                 if size >= FLUSH:
-                    yield packed(found)
-                    found, size = [], 0
+                    yield packed(list(found.values()))
+                    found, size = {}, 0
             if size:
-                yield packed(found)
+                yield packed(list(found.values()))
+
+        return self.rows.mapInArrow(run, "part int, data binary")
+
+    def common_postings(self, table) -> DataFrame:
+        """(x, token): every class, as (key, n, m), with each common shingle of its prefix."""
+        words, percent = self.words, self.percent
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block in cut(batches):
+                rows = [(class_key(s), len(s), *p) for s in document_sets(block, words) if len(s) and len((p := prefix(s, percent, *table.value))[2])]
+                keys, sizes, matches, _, common = list(zip(*rows, strict=True)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(matches, pa.int32()), _lists(common)], ["key", "n", "m", "common"])
+
+        found = self.rows.mapInArrow(run, "key long, n int, m int, common array<long>").dropDuplicates(["key"])
+        return found.select(F.struct("key", "n", "m").alias("x"), F.explode("common").alias("token"))
+
+    def lists(self, table) -> DataFrame:
+        """Posting lists of two classes or more: (members, times), equal lists united."""
 
         def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-            rows = np.frombuffer(b"".join(pdf.data), _POSTING)
-            rows = rows[np.lexsort((rows["key"], rows["token"]))]
-            first = np.flatnonzero(np.diff(rows["token"], prepend=~rows["token"][:1]))
+            rows = np.unique(np.frombuffer(b"".join(pdf.data), _POSTING))
+            first = np.flatnonzero(np.append(True, rows["token"][1:] != rows["token"][:-1]))
             ends = np.append(first[1:], len(rows))
             some = ends - first > 1
             out = [rows[a:b] for a, b in zip(first[some].tolist(), ends[some].tolist(), strict=True)]
-            columns = {"keys": "key", "sizes": "n", "matches": "m"}
-            return pd.DataFrame({c: pd.Series([r[f].tolist() for r in out], dtype=object) for c, f in columns.items()})
+            return pd.DataFrame({c: pd.Series([r[c].tolist() for r in out], dtype=object) for c in ("key", "size")})
 
-        packs = prefixes.select("key", "n", "m", "rare").mapInArrow(pack, "part int, data binary")
-        found = packs.groupBy("part").applyInPandas(gather, "keys array<long>, sizes array<int>, matches array<int>")
-        return found.groupBy("keys").agg(F.first("sizes").alias("sizes"), F.first("matches").alias("matches"), F.count(F.lit(1)).alias("times")).select(
-            F.arrays_zip(F.col("keys").alias("key"), F.col("sizes").alias("n"), F.col("matches").alias("m")).alias("members"), "times")
+        found = self.prefixes(table).groupBy("part").applyInPandas(gather, "key array<long>, size array<long>")
+        found = found.groupBy("key").agg(F.first("size").alias("size"), F.count(F.lit(1)).alias("times"))
+        member = lambda z: F.struct(z["key"].alias("key"), F.shiftright(z["size"], 3).cast("int").alias("n"), (z["size"] % 8 + 1).cast("int").alias("m"))
+        return found.select(F.transform(F.arrays_zip("key", "size"), member).alias("members"), "times")
 
     def _near(self, x: str, y: str) -> F.Column:
         return F.expr(f"100 * least({x}.n, {y}.n) >= {self.percent} * greatest({x}.n, {y}.n)")
@@ -222,36 +232,56 @@ class Join:
         return self._asked(every).join(tested, ["a", "b"], "left_anti")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose whole sets are similar enough."""
+        """The pairs (a, b) whose whole sets are similar enough.
+
+        A set travels once for each a it is compared with. The pairs of one a are dealt to
+        several parts if they are many; in a part the set of a comes first, and the others
+        pass by it.
+        """
         words, percent = self.words, self.percent
         ids = pairs.select(F.col("a").alias("key")).union(pairs.select("b"))
         wanted = self.spark.sparkContext.broadcast(_bitmap(ids))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = wanted.value
+            bits, sent = wanted.value, set()
             for block in cut(batches):
-                rows = [(key, s.tobytes()) for s in document_sets(block, words) if len(s) and bits[(key := class_key(s)) & (len(bits) - 1)]]
+                rows = []
+                for s in document_sets(block, words):
+                    if len(s) and bits[(key := class_key(s)) & (len(bits) - 1)] and key not in sent:
+                        rows.append((key, s.tobytes()))
+                        sent.add(key)  # 8 bytes for each class of this task
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["key", "tokens"])
 
-        sets = store(self.rows.mapInArrow(run, "key long, tokens binary").dropDuplicates(["key"]), "sets")
-        both = pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b")
+        sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+        dealt = pairs.join(sizes, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / PART).cast("long")))
+        seats = dealt.select("a", "part", F.col("b").alias("key"), F.lit(1).alias("role")).union(dealt.select("a", "part", F.col("a").alias("key"), F.lit(0).alias("role")).distinct())
+        seats = store(seats, "seats")
+        sets = self.rows.mapInArrow(run, "key long, tokens binary")
+        rows = sets.join(F.broadcast(seats) if seats.count() <= MAX_BROADCAST else seats, "key")
+        rows = rows.select("a", "part", "role", "key", "tokens").repartition("a", "part").sortWithinPartitions("a", "part", "role")
 
         def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seat, held = None, np.zeros(0, U)
             for batch in batches:
-                ok = []
-                for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                    x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(100 * both >= percent * (len(x) + len(y) - both))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-        return both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
+                found = []
+                for a, part, role, key, tokens in zip(*(batch.column(k) for k in range(5)), strict=True):
+                    a, part = a.as_py(), part.as_py()
+                    own = np.frombuffer(tokens.as_buffer(), U)
+                    if not role.as_py():
+                        seat, held = (a, part), own.copy()
+                    elif seat == (a, part):
+                        both = len(np.intersect1d(held, own, assume_unique=True))
+                        if 100 * both >= percent * (len(held) + len(own) - both):
+                            found.append((a, key.as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        return rows.mapInArrow(test, "a long, b long").distinct()
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Verified links between classes that make up all components, and the components' labels."""
-        prefixes = store(self.prefixes(), "prefixes")
-        lists = store(self.lists(prefixes), "lists")
-        common = prefixes.where(F.size("common") > 0).select(F.struct("key", "n", "m").alias("x"), F.explode("common").alias("token"))
+        table = self.spark.sparkContext.broadcast(self.common())
+        lists = store(self.lists(table), "lists")
+        common = store(self.common_postings(table), "postings")
         tested = store(self.first_pairs(lists, common), "pairs")
         links = store(self.verified(tested), "verified")
         labels = components(links)
@@ -287,6 +317,19 @@ def prefix(tokens: np.ndarray, percent: int, common: np.ndarray, docs: np.ndarra
     return m, rare, late[order][:n - least + m - len(rare)]
 
 
+def _sparse(counts: np.ndarray) -> bytes:
+    """Counts above one, each with its position; nearly all are one."""
+    some = np.flatnonzero(counts > 1)
+    return some.astype("<u4").tobytes() + counts[some].tobytes()
+
+
+def _dense(packed: bytes, size: int) -> np.ndarray:
+    n = len(packed) // 5
+    out = np.ones(size, np.int64)
+    out[np.frombuffer(packed, "<u4", n)] = np.frombuffer(packed, np.uint8, n, 4 * n)
+    return out
+
+
 def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
     values = np.concatenate(rows).view(np.int64) if len(rows) else np.zeros(0, np.int64)
