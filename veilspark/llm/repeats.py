@@ -8,13 +8,16 @@ hash, to the right up to LENGTH bytes and to the left up to LENGTH - ANCHOR.
 
 Anchors whose whole surroundings are equal are one context, counted by partial aggregates:
 such surroundings repeat in full, and one representative stands for all in what follows.
-The distinct contexts of a hash form an enhanced suffix array: sorted right sides with their
-common prefix lengths, scanned with a stack into the tree of common-prefix intervals. For
-each interval (a right extension shared by its members, more among its parts) the members
-are ordered by their left sides; neighbours there differ in what stands further left, so
-their common left extension and the interval's depth bound a maximal repeat, of which all
-members, not just neighbours, are given. A hash with more than ``MAX_CONTEXTS`` contexts
-is not gathered: its windows are hashed, exploded and counted instead, with the same result.
+A repeat around an anchor reaches at least half of LENGTH - ANCHOR bytes beyond it on one
+side, so contexts are grouped by the hash of that much on the right, and again on the left;
+a line that stands in many texts with nothing else in common forms no group. The contexts
+of a group form an enhanced suffix array: sorted right sides with their common prefix
+lengths, scanned with a stack into the tree of common-prefix intervals. For each interval
+(a right extension shared by its members, more among its parts) the members are ordered by
+their left sides; neighbours there differ in what stands further left, so their common left
+extension and the interval's depth bound a maximal repeat, of which all members, not just
+neighbours, are given. A group of more than ``MAX_CONTEXTS`` contexts is not gathered: its
+windows are hashed, exploded and counted instead, with the same result.
 
 Only anchors are shuffled, about one for 185 bytes, and the surroundings of representatives
 that differ; texts meet their ranges once.
@@ -73,9 +76,16 @@ class Anchors:
         self.end = np.minimum(starts[self.doc + 1], self.at + length)
         self.pos = self.at - starts[self.doc]
         self.hash = hash_spans(buf, self.at, self.at + k)
+        # Both sides in equal shares of what a repeat has beside its anchor; 0: the text ends before.
+        half = (length - k + 1) // 2
+        self.right, self.left = np.zeros(len(self.at), U), np.zeros(len(self.at), U)
+        some = np.flatnonzero(self.end - self.at >= k + half)
+        self.right[some] = mix(hash_spans(buf, self.at[some], self.at[some] + k + half) + U(1))
+        some = np.flatnonzero(self.at - self.begin >= half)
+        self.left[some] = mix(hash_spans(buf, self.at[some] - half, self.at[some] + k) + U(2))
         sides = (self.at - self.begin).astype(U) * U(1 << 20) + (self.end - self.at).astype(U)
         self.context = mix(hash_spans(buf, self.begin, self.end) ^ mix(sides))
-        self.occurrence = mix(keys[self.doc].view(U) * U(3) + self.pos.astype(U))
+        self.occurrence = keys[self.doc].view(U) ^ self.pos.astype(U)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, np.ndarray]]:
@@ -83,10 +93,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, np.ndarr
         yield block, block.ids.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _wanted(occurrences: DataFrame) -> np.ndarray:
-    """A flag for each of 2**WANTED_BITS residues of the occurrences: a fixed 2 MB whatever their number."""
-    slot = F.col("occurrence").bitwiseAND(F.lit((1 << WANTED_BITS) - 1)).alias("slot")
-    rows = occurrences.select(slot).groupBy(F.expr("slot div 32768").alias("page")).agg(F.expr("bitmap_construct_agg(slot % 32768)").alias("bits")).collect()
+def _wanted(chosen: DataFrame) -> np.ndarray:
+    """A flag for each of 2**WANTED_BITS residues of the chosen occurrences in groups: a fixed 2 MB whatever their number."""
+    slot = F.col("occurrence").bitwiseXOR(F.col("group")).bitwiseAND(F.lit((1 << WANTED_BITS) - 1)).alias("slot")
+    rows = chosen.select(slot).groupBy(F.expr("slot div 32768").alias("page")).agg(F.expr("bitmap_construct_agg(slot % 32768)").alias("bits")).collect()
     out = np.zeros(1 << WANTED_BITS, bool)
     for r in rows:
         out[r["page"] * 32768:(r["page"] + 1) * 32768] = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little")
@@ -156,85 +166,92 @@ class Repeats:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for block, keys in _blocks(batches):
                 a = Anchors(block, keys, length)
+                signed = (pa.array(x.view(np.int64)) for x in (a.hash, a.context, a.right, a.left))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(keys[a.doc]), pa.array(a.pos), pa.array(a.hash.view(np.int64)), pa.array(a.context.view(np.int64)), pa.array(a.occurrence.view(np.int64)),
-                    pa.array((a.at - a.begin).astype(np.int32)), pa.array((a.end - a.at).astype(np.int32))], ["key", "pos", "anchor", "context", "occurrence", "l", "r"])
+                    pa.array(keys[a.doc]), pa.array(a.pos), *signed, pa.array((a.at - a.begin).astype(np.int32)), pa.array((a.end - a.at).astype(np.int32))],
+                    ["key", "pos", "anchor", "context", "right", "left", "l", "r"])
 
-        return self.rows.mapInArrow(run, "key long, pos long, anchor long, context long, occurrence long, l int, r int")
+        return self.rows.mapInArrow(run, "key long, pos long, anchor long, context long, right long, left long, l int, r int")
 
     def surroundings(self, chosen: DataFrame) -> DataFrame:
-        """(anchor, context, before reversed, after) of the chosen occurrences."""
+        """(group, anchor, context, before reversed, after) of the chosen occurrences; a few others may come along."""
         length, shared = self.length, self.spark.sparkContext.broadcast(_wanted(chosen))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for block, keys in _blocks(batches):
                 a = Anchors(block, keys, length)
-                some = np.flatnonzero(shared.value[(a.occurrence & U((1 << WANTED_BITS) - 1)).astype(np.int64)]).tolist()
-                raw = block.buf.tobytes() if some else b""
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(a.hash[some].view(np.int64)), pa.array(a.context[some].view(np.int64)), pa.array(a.occurrence[some].view(np.int64)),
-                    pa.array([raw[a.begin[i]:a.at[i]][::-1] for i in some], pa.binary()), pa.array([raw[a.at[i]:a.end[i]] for i in some], pa.binary())],
-                    ["anchor", "context", "occurrence", "before", "after"])
+                raw = block.buf.tobytes()
+                for group in (a.right, a.left):
+                    flags = shared.value[((a.occurrence ^ group) & U((1 << WANTED_BITS) - 1)).astype(np.int64)]
+                    some = np.flatnonzero(flags & (group > 0))
+                    before = [raw[b:e][::-1] for b, e in zip(a.begin[some].tolist(), a.at[some].tolist(), strict=True)]
+                    after = [raw[b:e] for b, e in zip(a.at[some].tolist(), a.end[some].tolist(), strict=True)]
+                    signed = (pa.array(x[some].view(np.int64)) for x in (group, a.hash, a.context))
+                    yield pa.RecordBatch.from_arrays([*signed, pa.array(before, pa.binary()), pa.array(after, pa.binary())], ["group", "anchor", "context", "before", "after"])
 
-        found = self.rows.mapInArrow(run, "anchor long, context long, occurrence long, before binary, after binary")
-        return found.join(chosen.select("occurrence"), "occurrence", "left_semi")
+        return self.rows.mapInArrow(run, "group long, anchor long, context long, before binary, after binary")
 
     def in_groups(self, chosen: DataFrame) -> DataFrame:
-        """(anchor, context, l, r) of the maximal repeats among different contexts of one anchor."""
+        """(anchor, context, l, r): how far repeats reach around it, among different contexts of one group."""
         length = self.length
 
         def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-            out: list[tuple[int, int, int, int]] = []
-            pdf = pdf.drop_duplicates(["anchor", "context"]).sort_values(["anchor", "context"], kind="stable")
-            contexts, before, after = pdf.context.to_numpy(), [bytes(x) for x in pdf.before], [bytes(x) for x in pdf.after]
-            edges = np.flatnonzero(np.diff(pdf.anchor.to_numpy(), prepend=~pdf.anchor.to_numpy()[:1]))
-            ends = np.append(edges[1:], len(pdf))
-            anchors = pdf.anchor.to_numpy()
-            for a, b in zip(edges.tolist(), ends.tolist(), strict=True):
+            pdf = pdf.drop_duplicates(["group", "anchor", "context"]).sort_values(["group", "anchor", "context"], kind="stable")
+            before, after = [bytes(x) for x in pdf.before], [bytes(x) for x in pdf.after]
+            groups, reach = pdf.group.to_numpy(), np.zeros((len(pdf), 2), np.int64)
+            first = np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(groups)], strict=True):
                 if b - a > 1:
-                    out += [(anchors[a], contexts[a + i], l, r) for i, l, r, _ in maximal_repeats(before[a:b], after[a:b], length)]
-            return pd.DataFrame(np.array(out, np.int64).reshape(-1, 4), columns=["anchor", "context", "l", "r"])
+                    for i, l, r, _ in maximal_repeats(before[a:b], after[a:b], length):
+                        reach[a + i] = max(reach[a + i, 0], l), max(reach[a + i, 1], r)
+            found = reach[:, 1] > 0
+            return pd.DataFrame({"anchor": pdf.anchor[found], "context": pdf.context[found], "l": reach[found, 0], "r": reach[found, 1]})
 
-        rows = self.surroundings(chosen).withColumn("part", F.pmod(F.xxhash64("anchor"), F.lit(8 * int(self.spark.conf.get("spark.sql.shuffle.partitions")))))
-        return rows.select("part", "anchor", "context", "before", "after").groupBy("part").applyInPandas(scan, "anchor long, context long, l int, r int")
+        rows = self.surroundings(chosen).withColumn("part", F.pmod(F.xxhash64("group"), F.lit(8 * int(self.spark.conf.get("spark.sql.shuffle.partitions")))))
+        return rows.groupBy("part").applyInPandas(scan, "anchor long, context long, l int, r int")
 
     def in_windows(self, chosen: DataFrame) -> DataFrame:
-        """The same for anchors with very many contexts, by counting hashes of their windows."""
+        """The same for groups of very many contexts, by counting hashes of their windows."""
         length = self.length
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 windows, first = [], []
-                for before, after in zip(batch.column(2), batch.column(3), strict=True):
+                for before, after in zip(batch.column(3), batch.column(4), strict=True):
                     whole = np.frombuffer(before.as_py()[::-1] + after.as_py(), np.uint8)
                     begin = np.arange(max(0, len(whole) - length + 1))
                     windows.append(hash_spans(whole, begin, begin + length).view(np.int64).tolist())
                     first.append(len(before.as_py()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(windows, pa.list_(pa.int64())), pa.array(first, pa.int32())], ["anchor", "context", "windows", "left"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(windows, pa.list_(pa.int64())), pa.array(first, pa.int32())], ["group", "anchor", "context", "windows", "left"])
 
-        rows = self.surroundings(chosen).select("anchor", "context", "before", "after").mapInArrow(run, "anchor long, context long, windows array<long>, left int")
-        single = rows.dropDuplicates(["anchor", "context"]).select("anchor", "context", "left", F.posexplode("windows").alias("start", "window"))
+        rows = self.surroundings(chosen).mapInArrow(run, "group long, anchor long, context long, windows array<long>, left int")
+        single = rows.dropDuplicates(["group", "anchor", "context"]).select("group", "anchor", "context", "left", F.posexplode("windows").alias("start", "window"))
         # Windows at one offset from the anchor: those of different contexts start at different places.
-        single = store(single.select("anchor", "context", "window", (F.col("left") - F.col("start")).alias("l")), "windows")
-        twice = single.groupBy("anchor", "window", "l").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        held = single.join(twice, ["anchor", "window", "l"], "left_semi")
-        return held.select("anchor", "context", F.col("l").cast("int").alias("l"), (F.lit(length) - F.col("l")).cast("int").alias("r"))
+        single = store(single.select("group", "anchor", "context", "window", (F.col("left") - F.col("start")).alias("l")), "windows")
+        twice = single.groupBy("group", "window", "l").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        held = single.join(twice, ["group", "window", "l"], "left_semi")
+        return held.groupBy("anchor", "context").agg(F.max("l").cast("int").alias("l"), (F.lit(length) - F.min("l")).cast("int").alias("r"))
 
     def ranges(self) -> DataFrame:
-        """(key, ranges): the bytes of each document inside repeats, as begin and end, unordered and overlapping."""
+        """(key, ranges): the bytes of each document inside repeats, as begin and end, unordered and overlapping.
+
+        All that is known of a context holds its anchor, so its ranges are one: from the
+        farthest to the left to the farthest to the right.
+        """
         anchors = store(self.anchors(), "anchors")
-        contexts = store(anchors.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min("occurrence").alias("occurrence"), F.first("l").alias("l"), F.first("r").alias("r")), "contexts")
-        groups = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1")
-        differing = store(contexts.join(groups, "anchor").select("anchor", "occurrence", "contexts"), "differing")
+        occurrence = F.min(F.col("key").bitwiseXOR(F.col("pos"))).alias("occurrence")
+        contexts = store(anchors.groupBy("anchor", "context", "right", "left").agg(F.count(F.lit(1)).alias("n"), occurrence), "contexts")
+        seats = contexts.select(F.explode(F.array("right", "left")).alias("group"), "occurrence").where("group <> 0")
+        groups = seats.groupBy("group").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1")
+        differing = store(seats.join(groups, "group"), "differing")
         few = self.in_groups(differing.where(F.col("contexts") <= MAX_CONTEXTS))
         large = differing.where(F.col("contexts") > MAX_CONTEXTS)
-        every = contexts.where("n > 1").select("anchor", "context", "l", "r").union(few)
-        if not large.isEmpty():
-            every = every.union(self.in_windows(large))
-        covers = store(every, "covers").groupBy("anchor", "context").agg(F.collect_set(F.struct("l", "r")).alias("sides"))
-        held = anchors.join(covers, ["anchor", "context"]).select("key", "pos", F.explode("sides").alias("side"))
-        spans = held.select("key", F.struct((F.col("pos") - F.col("side.l")).alias("begin"), (F.col("pos") + F.col("side.r")).alias("end")).alias("range"))
-        return spans.groupBy("key").agg(F.collect_set("range").alias("ranges"))
+        whole = contexts.where("n > 1").select("anchor", "context", F.lit(self.length).alias("l"), F.lit(self.length).alias("r"))
+        every = whole.union(few) if large.isEmpty() else whole.union(few).union(self.in_windows(large))
+        covers = store(every, "covers").groupBy("anchor", "context").agg(F.max("l").alias("to_left"), F.max("r").alias("to_right"))
+        held = anchors.select("key", "pos", "anchor", "context", "l", "r").join(covers, ["anchor", "context"])
+        begin, end = F.col("pos") - F.least("l", "to_left"), F.col("pos") + F.least("r", "to_right")
+        return held.select("key", F.struct(begin.alias("begin"), end.alias("end")).alias("range")).groupBy("key").agg(F.collect_set("range").alias("ranges"))
 
 
 def merge(begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
