@@ -172,17 +172,19 @@ class Join:
         return self.rows.mapInArrow(run, "part int, data binary")
 
     def common_postings(self, table) -> DataFrame:
-        """(x, token): every class, as (key, n, m), with each common shingle of its prefix."""
+        """(x, pos, token): every class, as (key, n, m), with each common shingle of its prefix and its place there."""
         words, percent = self.words, self.percent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for block in cut(batches):
                 rows = [(class_key(s), len(s), *p) for s in document_sets(block, words) if len(s) and len((p := prefix(s, percent, *table.value))[2])]
-                keys, sizes, matches, _, common = list(zip(*rows, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(matches, pa.int32()), _lists(common)], ["key", "n", "m", "common"])
+                keys, sizes, matches, rare, common = list(zip(*rows, strict=True)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(matches, pa.int32()), pa.array([len(x) for x in rare], pa.int32()), _lists(common)], ["key", "n", "m", "rare", "common"])
 
-        found = self.rows.mapInArrow(run, "key long, n int, m int, common array<long>").dropDuplicates(["key"])
-        return found.select(F.struct("key", "n", "m").alias("x"), F.explode("common").alias("token"))
+        found = self.rows.mapInArrow(run, "key long, n int, m int, rare int, common array<long>").dropDuplicates(["key"])
+        found = found.select(F.struct("key", "n", "m").alias("x"), "rare", F.posexplode("common").alias("at", "token"))
+        return found.select("x", (F.col("rare") + F.col("at") + 1).alias("pos"), "token")
 
     def lists(self, table) -> DataFrame:
         """Posting lists of two classes or more: (members, times), equal lists united."""
@@ -205,31 +207,49 @@ class Join:
 
     @staticmethod
     def _asked(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) with x, y and times that share as many prefix shingles as they must."""
-        flat = pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"), F.least("x.m", "y.m").alias("need"), "times")
-        return flat.groupBy("a", "b", "need").agg(F.sum("times").alias("times")).where("times >= need").select("a", "b")
-
-    def first_pairs(self, lists: DataFrame, common: DataFrame) -> DataFrame:
-        """Each list's members with its first member."""
-        stars = lists.select(F.get("members", F.lit(0)).alias("x"), F.explode(F.slice("members", 2, F.size("members") - 1)).alias("y"), "times")
-        heads = common.groupBy("token").agg(F.min(F.struct("x.key", "x.n", "x.m")).alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
+        """Pairs (a, b) from x, y and times that share as many prefix shingles as they must; a is an x."""
+        flat = pairs.select(F.least("x.key", "y.key").alias("low"), F.greatest("x.key", "y.key").alias("high"), F.least("x.m", "y.m").alias("need"), F.col("x.key").alias("a"), "times")
+        counted = flat.groupBy("low", "high", "need").agg(F.sum("times").alias("times"), F.min("a").alias("a")).where("times >= need")
+        return counted.select("a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b"))
+
+    def first_pairs(self, single: DataFrame, common: DataFrame) -> DataFrame:
+        """Each list's members with its head, the class with most neighbours.
+
+        A copy's own shingles are rare and come first in its prefix, where they meet nobody;
+        the text that was copied meets all its copies. So heads are mostly originals, and
+        near copies that do not resemble each other enough are linked through them.
+        """
+        met = single.select("x", "times").union(common.select("x", F.lit(1).cast("long").alias("times")))
+        degrees = store(met.groupBy(F.col("x.key").alias("key")).agg(F.sum("times").alias("degree")), "degrees")
+        best = F.max_by("x", F.struct("degree", "key")).alias("head")
+        joined = single.join(degrees, F.col("x.key") == degrees.key)
+        heads = joined.groupBy("list").agg(best)
+        stars = single.join(heads, "list").where("x.key <> head.key").select(F.col("head").alias("x"), F.col("x").alias("y"), "times")
+        heads = common.join(degrees, F.col("x.key") == degrees.key).groupBy("token").agg(best, F.count(F.lit(1)).alias("size")).where("size > 1")
         more = common.join(heads, "token").where("x.key <> head.key").select(F.col("head").alias("x"), F.col("x").alias("y"), F.lit(1).cast("long").alias("times"))
         return self._asked(stars.unionByName(more).where(self._near("x", "y")))
 
-    def further_pairs(self, lists: DataFrame, common: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
+    def further_pairs(self, single: DataFrame, common: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
         """Members of one list whose components differ, and that were not compared yet."""
         label = F.coalesce("label", F.col("x.key"))
-        single = lists.select(F.xxhash64("members").alias("list"), "times", F.explode("members").alias("x"))
         single = single.join(labels, F.col("x.key") == labels.key, "left").select("list", "times", F.struct("x.*", label.alias("label")).alias("x"))
         mixed = single.groupBy("list", "times").agg(F.collect_list("x").alias("xs"), F.min("x.label").alias("low"), F.max("x.label").alias("high")).where("low <> high")
         pairs = mixed.select("times", "xs", F.explode("xs").alias("x")).select(
             "times", "x", F.explode(F.filter("xs", lambda y: (y["key"] > F.col("x.key")) & (y["label"] != F.col("x.label")))).alias("y"))
-        rows = common.join(labels, F.col("x.key") == labels.key, "left").select("token", F.struct("x.*", label.alias("label")).alias("x"))
+        rows = common.join(labels, F.col("x.key") == labels.key, "left").select("token", F.struct("x.*", "pos", label.alias("label")).alias("x"))
         spread = rows.groupBy("token").agg(F.min("x.label").alias("low"), F.max("x.label").alias("high")).where("low <> high").select("token")
         rows = rows.join(spread, "token", "left_semi")
-        more = rows.join(rows.select("token", F.col("x").alias("y")), "token").where("x.key < y.key AND x.label <> y.label").select("x", "y", F.lit(1).cast("long").alias("times"))
-        every = pairs.select("x", "y", "times").unionByName(more).where(self._near("x", "y"))
-        return self._asked(every).join(tested, ["a", "b"], "left_anti")
+        # Of the shingles that two similar sets share, the m-th stands no later than n - overlap + m in either.
+        overlap = F.expr(f"({self.percent} * (x.n + y.n) + {99 + self.percent}) div {100 + self.percent} - least(x.m, y.m)")
+        early = (F.col("x.pos") <= F.col("x.n") - overlap) & (F.col("y.pos") <= F.col("y.n") - overlap)
+        other = (F.col("x.key") < F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & self._near("x", "y") & early
+        more = rows.alias("l").join(rows.select("token", F.col("x").alias("y")).alias("r"), (F.col("l.token") == F.col("r.token")) & other)
+        flat = [F.struct(f"{c}.key", f"{c}.n", f"{c}.m").alias(c) for c in "xy"]
+        more = more.select(*flat, F.lit(1).cast("long").alias("times"))
+        every = pairs.where(self._near("x", "y")).select(*flat, "times").unionByName(more)
+        known = tested.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
+        fresh = self._asked(every)
+        return fresh.join(known, (F.least("a", "b") == F.col("low")) & (F.greatest("a", "b") == F.col("high")), "left_anti")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose whole sets are similar enough.
@@ -280,13 +300,14 @@ class Join:
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Verified links between classes that make up all components, and the components' labels."""
         table = self.spark.sparkContext.broadcast(self.common())
-        lists = store(self.lists(table), "lists")
+        lists = self.lists(table)
         common = store(self.common_postings(table), "postings")
-        tested = store(self.first_pairs(lists, common), "pairs")
+        single = store(lists.select(F.xxhash64("members").alias("list"), "times", F.explode("members").alias("x")), "members")
+        tested = store(self.first_pairs(single, common), "pairs")
         links = store(self.verified(tested), "verified")
         labels = components(links)
         while True:
-            pairs = store(self.further_pairs(lists, common, labels, tested), "pairs")
+            pairs = store(self.further_pairs(single, common, labels, tested), "pairs")
             if pairs.isEmpty():
                 return links, labels
             fresh = store(self.verified(pairs), "verified")
