@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .blocks import Block, U, _table, cut, hash_spans, id_type, mix, rows_of, store
 
-LENGTH, ANCHOR, MAX_CONTEXTS, WANTED_BITS = 400, 32, 5_000, 24
+LENGTH, ANCHOR, MAX_CONTEXTS, WANTED_BITS = 400, 32, 20_000, 24
 _CHUNK, _PLACE = 1 << 20, U((1 << 24) - 1)
 
 
@@ -216,20 +216,26 @@ class Repeats:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                windows, first = [], []
-                for before, after in zip(batch.column(3), batch.column(4), strict=True):
-                    whole = np.frombuffer(before.as_py()[::-1] + after.as_py(), np.uint8)
+                windows, offsets = [], []
+                for group, before, after in zip(*(batch.column(k) for k in (0, 3, 4)), strict=True):
+                    left = before.as_py()[::-1]
+                    whole = np.frombuffer(left + after.as_py(), np.uint8)
                     begin = np.arange(max(0, len(whole) - length + 1))
-                    windows.append(hash_spans(whole, begin, begin + length).view(np.int64).tolist())
-                    first.append(len(before.as_py()))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(windows, pa.list_(pa.int64())), pa.array(first, pa.int32())], ["group", "anchor", "context", "windows", "left"])
-
-        rows = self.surroundings(chosen).mapInArrow(run, "group long, anchor long, context long, windows array<long>, left int")
-        single = rows.dropDuplicates(["group", "anchor", "context"]).select("group", "anchor", "context", "left", F.posexplode("windows").alias("start", "window"))
-        # Windows at one offset from the anchor: those of different contexts start at different places.
-        single = store(single.select("group", "anchor", "context", "window", (F.col("left") - F.col("start")).alias("l")), "windows")
-        twice = single.groupBy("group", "window", "l").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        held = single.join(twice, ["group", "window", "l"], "left_semi")
+                    offset = len(left) - begin
+                    seat = mix(np.array([group.as_py()], np.int64).view(U) + offset.astype(U))
+                    windows.append(mix(hash_spans(whole, begin, begin + length) ^ seat).view(np.int64))
+                    offsets.append(offset.astype(np.int32))
+                sizes = np.concatenate([[0], np.cumsum([len(w) for w in windows])]).astype(np.int32)
+                flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (windows, offsets)]
+                lists = [pa.ListArray.from_arrays(pa.array(sizes), pa.array(x, k)) for x, k in zip(flat, (pa.int64(), pa.int32()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists], ["group", "anchor", "context", "windows", "offsets"])
+
+        rows = self.surroundings(chosen).mapInArrow(run, "group long, anchor long, context long, windows array<long>, offsets array<int>")
+        rows = rows.dropDuplicates(["group", "anchor", "context"])
+        # A window's hash holds its group and its offset from the anchor: at one offset, windows of different contexts start at different places.
+        single = store(rows.select("anchor", "context", F.inline(F.arrays_zip(F.col("windows").alias("window"), F.col("offsets").alias("l")))), "windows")
+        twice = single.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
+        held = single.join(twice, "window", "left_semi")
         return held.groupBy("anchor", "context").agg(F.max("l").cast("int").alias("l"), (F.lit(length) - F.min("l")).cast("int").alias("r"))
 
     def ranges(self) -> DataFrame:
