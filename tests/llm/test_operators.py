@@ -297,6 +297,29 @@ def test_line_templates_use_no_python(spark, small):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def prose(rng, n):
+    return ["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(n)]
+
+
+def left_of(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return {r["doc_id"]: r for r in templates.drop_recurring_lines(df).collect()}
+
+
+def test_lines_of_near_copies_stay(spark):
+    rng = np.random.default_rng(5)
+    lines, rows = [prose(rng, 9) for _ in range(30)], []
+    for k in range(1000):
+        copy = [list(line) for line in lines]
+        for at in rng.integers(0, 30, 6):  # every copy with words of its own, so that each line has many pairs of neighbours
+            copy[at][int(rng.integers(0, 9))] = prose(rng, 1)[0]
+        rows.append((k, "\n".join(" ".join(line) for line in copy)))
+    rows += [(2000 + k, "\n".join([" ".join(prose(rng, 40)), "a line that many pages of this world share", " ".join(prose(rng, 40))])) for k in range(12)]
+    got = left_of(spark, rows)
+    assert all(got[k]["n_dropped"] == 0 and got[k]["clean_text"] == t for k, t in rows[:1000])
+    assert all(got[2000 + k]["n_dropped"] == 1 for k in range(12))
+
+
 # -- Classifiers ------------------------------------------------------------------------------------------------------
 
 
