@@ -320,6 +320,23 @@ def test_lines_of_near_copies_stay(spark):
     assert all(got[2000 + k]["n_dropped"] == 1 for k in range(12))
 
 
+def test_lines_that_dissimilar_texts_share_go(spark):
+    rng = np.random.default_rng(6)
+    around = lambda *shared: "\n".join([" ".join(prose(rng, 60)), *shared, " ".join(prose(rng, 60))])
+    notice = [f"part {c} of a notice with five lines" for c in ("one", "two", "three", "four", "five")]
+    passage = " ".join(prose(rng, 60))
+    beside = "This page was made by the people of a town"
+    copied = around(beside)
+    rows = [(k, around(*notice)) for k in range(15)] + [(100 + k, around(passage)) for k in range(4)]
+    rows += [(200 + k, around(beside)) for k in range(20)] + [(1000 + k, copied) for k in range(300)]
+    rows += [(300 + k, around("only nine of these texts share this line")) for k in range(9)]
+    got = left_of(spark, rows)
+    assert all(got[k]["n_dropped"] == 5 and "notice" not in got[k]["clean_text"] for k in range(15))
+    assert all(got[100 + k]["n_dropped"] == 1 for k in range(4))
+    assert all(got[k]["n_dropped"] == 1 and beside not in got[k]["clean_text"] for k in [*range(200, 220), *range(1000, 1300)])
+    assert all(got[300 + k]["n_dropped"] == 0 for k in range(9))
+
+
 # -- Classifiers ------------------------------------------------------------------------------------------------------
 
 
