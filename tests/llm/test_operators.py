@@ -156,6 +156,17 @@ def test_contamination_equals_a_plain_version(spark, small, awkward, nothing, it
     assert decontaminate.contamination(small, items.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_contamination_keeps_repeated_and_null_ids_apart(spark, awkward):
+    items = spark.createDataFrame([(900 + k, f"{PASSAGE[60 * k:60 * k + 50]} and item {k}") for k in range(6)] + [(950, "no id here"), (951, "other text of"), (952, "w5x5 w6x6 w7x7")], "item_id long, text string")
+    more = spark.createDataFrame([(8, "a second text with other text of the same id", "s", 1, "k"), (None, "x no id here y", "s", 2, "k"), (None, "z", "s", 3, "k")], awkward.schema)
+    df, names = awkward.union(more), ["doc_id", "n_words", "n_hit", "items", "hits", "clean_text", "row"]
+    one, several = (decontaminate.contamination(df, items, item_bytes=n, with_text=True, carry=True).select(names).collect() for n in (decontaminate.ITEM_BYTES, 300))
+    assert len(one) == len(AWKWARD) + 3 and Counter(map(repr, several)) == Counter(map(repr, one))
+    named = [(r[0], r[1]) for r in items.collect()]
+    plain = decontaminate.contamination(df, items, item_bytes=300).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in plain) == Counter(plain_hits(texts(df), named, 10))
+
+
 def test_removed_words_take_what_is_between():
     assert decontaminate.remove_words("Say: One, two! three four.".encode(), [(1, 3)]) == "Say: ! three four."
 

@@ -8,8 +8,8 @@ another in any item the length is at most 1, so only stretches whose neighbourin
 follow each other in an item are fed to the automaton; numpy finds these stretches.
 
 Items travel to the tasks in blocks of at most ``ITEM_BYTES`` bytes of text. Documents are
-read once for each block, without a shuffle; with several blocks a grouping by document
-unites their hits.
+read once for each block, without a shuffle; with several blocks the rows are stored with a
+key of their own first, and a grouping by that key unites their hits.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import LOWER, NON_ALNUM, Block, carried, cut, hash_spans, id_type, mix, rows_of, spans
+from .blocks import LOWER, NON_ALNUM, Block, carried, cut, hash_spans, id_type, mix, rows_of, spans, store
 
 WINDOW = 10
 ITEM_BYTES = 1 << 20
@@ -200,28 +200,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ``hits`` are the maximal ranges of hit words, half open. With ``with_text`` the column
     ``clean_text`` holds the text without the bytes from the first to the last word of each
     range. Null and empty texts have no words and no hits; items without words or without an
-    id are no items. Repeated documents give repeated results unless the items need several
-    blocks, where rows of one id are united (ids must then be unique). ``carry`` adds the
-    table's other columns as ``row``.
+    id are no items. Repeated documents give repeated results, one row for each input row.
+    ``carry`` adds the table's other columns as ``row``.
     """
     spark, kind = docs.sparkSession, id_type(docs, id_col)
     blocks = item_blocks(benchmark, item_col, item_text_col, item_bytes)
     schema = f"`{id_col}` {kind}, n_words long, n_hit long, n_items long, items array<string>, hits array<struct<first:long,last:long>>"
-    parts = [_one_pass(docs, spark.sparkContext.broadcast(b), window, id_col, text_col, schema, with_text and len(blocks) == 1, carry and len(blocks) == 1) for b in blocks]
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
+    if len(blocks) == 1:
+        return _one_pass(docs, spark.sparkContext.broadcast(blocks[0]), window, id_col, text_col, schema, with_text, carry)
+    # Numbers of rows are only the same in every pass if they are stored.
+    rows = store(rows_of(docs, id_col, text_col, carry).withColumn("key", F.monotonically_increasing_id()), "numbered")
+    keyed = "`key` long, n_words long, n_hit long, n_items long, items array<string>, hits array<struct<first:long,last:long>>"
+    parts = [_one_pass(rows.select("key", "text"), spark.sparkContext.broadcast(b), window, "key", "text", keyed, False, False) for b in blocks]
+    every = parts[0].select("key", "n_words", "items", "hits")
     for p in parts[1:]:
-        every = every.unionByName(p)
+        every = every.unionByName(p.where("n_hit > 0").select("key", "n_words", "items", "hits"))
     merged = F.expr("""aggregate(array_sort(flatten(collect_list(hits))), array(named_struct('first', -1L, 'last', -1L)),
         (acc, h) -> IF(h.first <= element_at(acc, -1).last,
             concat(slice(acc, 1, size(acc) - 1), array(named_struct('first', element_at(acc, -1).first, 'last', greatest(h.last, element_at(acc, -1).last)))),
             concat(acc, array(named_struct('first', h.first, 'last', h.last)))), acc -> slice(acc, 2, size(acc)))""")
-    united = every.groupBy(id_col).agg(
+    united = every.groupBy("key").agg(
         F.max("n_words").alias("n_words"), merged.alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     n_hit = F.expr("aggregate(hits, 0L, (n, h) -> n + h.last - h.first)")
-    united = united.select(id_col, "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "hits")
-    return _without(docs, united, id_col, text_col, with_text, carry) if with_text or carry else united
+    united = united.select("key", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "hits")
+    found = rows.drop(*([] if with_text else ["text"])).join(united, "key")
+    return _without(found, id_col, kind, carried(docs, text_col) if carry else "", with_text)
 
 
 def _one_pass(docs: DataFrame, items, window: int, id_col: str, text_col: str, schema: str, with_text: bool, carry: bool) -> DataFrame:
@@ -257,20 +260,22 @@ def remove_words(text: bytes, hits: list[tuple[int, int]]) -> str:
     return b"".join([*kept, text[at:]]).decode("utf-8", "replace")
 
 
-def _without(docs: DataFrame, united: DataFrame, id_col: str, text_col: str, with_text: bool, carry: bool) -> DataFrame:
-    """Adds to the united rows, each by its id, the text without hits and the table's other columns."""
-    rows = rows_of(docs, id_col, text_col, carry).join(united.withColumnRenamed(id_col, "key"), F.col("id").eqNullSafe(F.col("key")))
-    rows = rows.select("id", "text", "hits", *(["row"] if carry else []), *(F.col(c) for c in ("n_words", "n_hit", "n_items", "items")))
-    names = [id_col, "hits", *(["row"] if carry else []), "n_words", "n_hit", "n_items", "items", "clean_text"]
+def _without(found: DataFrame, id_col: str, kind: str, row: str, with_text: bool) -> DataFrame:
+    """The numbered rows with their hits as ``contamination`` returns them."""
+    names = ["n_words", "n_hit", "n_items", "items", "hits"]
+    if not with_text:
+        return found.select(F.col("id").alias(id_col), *names, *(["row"] if row else []))
+    rows = found.select("id", "text", *names, *(["row"] if row else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [remove_words(t.encode(), [(h["first"], h["last"]) for h in hits]) for t, hits in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(texts, pa.string())], names)
+            hits = b.column(b.schema.get_field_index("hits")).to_pylist()
+            texts = [remove_words(t.encode(), [(h["first"], h["last"]) for h in hs]) for t, hs in zip(b.column(1).to_pylist(), hits, strict=True)]
+            columns = [b.column(0), *b.columns[2:7], pa.array(texts, pa.string()), *b.columns[7:]]
+            yield pa.RecordBatch.from_arrays(columns, [id_col, *names, "clean_text"] + ["row"] * bool(row))
 
-    schema = f"`{id_col}` {id_type(docs, id_col)}, hits array<struct<first:long,last:long>>" + (f", row {carried(docs, text_col)}" if carry else "")
-    found = rows.mapInArrow(run, schema + ", n_words long, n_hit long, n_items long, items array<string>, clean_text string")
-    return found if with_text else found.drop("clean_text")
+    schema = f"`{id_col}` {kind}, n_words long, n_hit long, n_items long, items array<string>, hits array<struct<first:long,last:long>>, clean_text string"
+    return rows.mapInArrow(run, schema + (f", row {row}" if row else ""))
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
