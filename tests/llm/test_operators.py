@@ -397,6 +397,13 @@ def test_pages_lose_what_their_site_repeats(spark):
     assert got[50]["text"] == "Our site & you Go\nsingle".replace(" Go", "\nGo")
 
 
+def test_blocks_on_few_pages_of_a_large_site_go(spark):
+    block = "<div><b>Offers</b> of the <i>week</i></div>"
+    rows = [(k, f"https://large.example/{k}", f"<body><div>text {k}</div>{block if k % 100 == 0 else ''}{'<div>thrice</div>' if k < 3 else ''}</body>") for k in range(5000)]
+    got = page_of(spark, rows)
+    assert all(got[k]["text"] == f"text {k}" + ("\nthrice" if k < 3 else "") and got[k]["n_deleted"] == (k % 100 == 0) for k in range(5000))
+
+
 def test_pages_keep_the_article_alone(spark):
     source = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no";</script></head><body>
     <header>Site</header><nav><ul><li><a href=x>Menu</a></ul></nav><div class="cookie-notice">We use</div><!-- <p>hidden</p> -->

@@ -2,7 +2,7 @@
 
 Every page is parsed to elements once in a task; structural elements are hashed with all
 they contain. Spark counts each subtree's pages per host, and subtrees on ``MIN_PAGES``
-pages or more of a host, and on one of ``SHARE`` of its pages, are deleted from its pages.
+pages or more of a host, however many pages it has, are deleted from its pages.
 A page with the same html counts once. Elements that hold the article are never deleted,
 nor are paragraphs inside it. What remains loses elements that are no main text by their
 tag or by a word of their class, id or role.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .blocks import id_type, store
 
-MIN_PAGES, SHARE = 4, 10
+MIN_PAGES = 4
 
 #: Elements by their role in HTML, and words that name what is no main text.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -217,11 +217,10 @@ def _keyed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
     return pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), F.xxhash64(url, source).alias("key"), host.alias("host"), F.xxhash64(source).alias("page"), source.alias("html"))
 
 
-def site_templates(nodes: DataFrame, hosts: DataFrame) -> DataFrame:
-    """(host, subtree) that recur: ``nodes`` has host, subtree and page, ``hosts`` host and page."""
+def site_templates(nodes: DataFrame) -> DataFrame:
+    """(host, subtree) that recur: ``nodes`` has host, subtree and page."""
     counts = nodes.select("host", "subtree", "page").distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("pages"))
-    sizes = hosts.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("of"))
-    return counts.where(F.col("pages") >= MIN_PAGES).join(sizes, "host").where(F.col("pages") * SHARE >= F.col("of")).select("host", "subtree")
+    return counts.where(F.col("pages") >= MIN_PAGES).select("host", "subtree")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -242,7 +241,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "host", "page", "node", "subtree"])
 
     nodes = store(rows.select("key", "host", "page", "html").mapInArrow(hashed, "key long, host string, page long, node int, subtree long"), "subtrees")
-    deleted = nodes.join(site_templates(nodes, rows), ["host", "subtree"], "left_semi").groupBy("key").agg(F.collect_set("node").alias("deleted"))
+    deleted = nodes.join(site_templates(nodes), ["host", "subtree"], "left_semi").groupBy("key").agg(F.collect_set("node").alias("deleted"))
     joined = rows.select("key", "id", "url", "html").join(deleted, "key", "left").select("id", "url", "html", "deleted")
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
