@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, jaccard, oracles, pages, quality_model, quality_rules, repeats, templates, toxicity
+from . import bpe, chat, decontaminate, jaccard, oracles, pages, permutations, quality_model, quality_rules, repeats, templates, toxicity, turns
 from .registry import ORACLES, QUERIES, query, read
 
 __all__ = ["ORACLES", "QUERIES", "VOCABULARY"]
@@ -100,3 +100,15 @@ def op9_line_template_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_interval_tree_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document outside strings that repeat."""
     return repeats.remove_repeats(read(spark, sf_dir, "documents"), digest=True)
+
+
+@query("op11_permutation_index", oracles.neighbours())
+def op11_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth."""
+    return permutations.neighbours(read(spark, sf_dir, "embeddings"))
+
+
+@query("op12_run_length_repair")
+def op12_run_length_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's faults after damage, and its cheapest repair."""
+    return turns.repair_conversations(read(spark, sf_dir, "conversations"))
