@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from veilspark.llm import turns
+from veilspark.llm import trie, turns
 from veilspark.llm.queries import QUERIES
 
 SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -135,3 +135,93 @@ def test_runs_jump_by_binary_powers():
         rows = [("suax"[(ord(x) - 65) // 4], "", ["", "blank", "duplicate", "truncated"][(ord(x) - 65) % 4]) for x in letters]
         cost, edits = turns.repair(letters)
         assert (cost, "".join(edits)) == plain_repair(rows)[:2]
+
+
+# -- prefix trie ------------------------------------------------------------------------------------------------------
+
+
+def plain_trie(rows):
+    """Nodes by their whole sequences."""
+    own = {}
+    for c, t, role, text in rows:
+        if c is not None:
+            own.setdefault(c, []).append((t is not None, t or 0, (role or "").encode(), (text or "").encode()))
+    own = {c: [r[2:] for r in sorted(v)] for c, v in own.items()}
+    nodes = {}
+    for c, turns_ in own.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        base = c - int(abs(c) % 5) * (1 if c > 0 else -1)
+        whole = tuple(own.get(base, [])[:h] + turns_[h:])
+        for d in range(len(whole) + 1):
+            nodes.setdefault(whole[:d], []).append((c, d == len(whole)))
+    children, leaves, saved = Counter(), Counter(), Counter()
+    for seq in nodes:
+        if seq:
+            children[seq[:-1]] += 1
+    for seq, members in nodes.items():
+        for d in range(len(seq) + 1):
+            saved[seq[:d]] += (len(members) - 1) * len(seq[-1][1]) if seq else 0
+            leaves[seq[:d]] += not children[seq]
+    ends = lambda m: hashlib.sha256(",".join(map(str, sorted(c for c, end in m if end))).encode()).hexdigest()
+    return Counter((min(m)[0], len(s), min(nodes[s[:-1]])[0] if s else None, len(m), children[s], leaves[s], saved[s], ends(m)) for s, m in nodes.items())
+
+
+def trie_rows(df):
+    return Counter(tuple(r) for r in df.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256").collect())
+
+
+@pytest.mark.parametrize("sf", [SMALL, MEDIUM])
+def test_trie_equals_the_plain_version(spark, sf):
+    assert trie_rows(QUERIES["op13_prefix_trie"](spark, sf)) == plain_trie(read_rows(spark.read.parquet(f"{sf}/conversations.parquet")))
+
+
+def test_trie_of_odd_rows(spark, monkeypatch):
+    rows = odd_rows(7, 90)
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = plain_trie([r[:4] for r in rows])
+    assert trie_rows(trie.prefix_trie(df)) == want
+    monkeypatch.setattr(trie, "_SLICE", 64)  # a sketch so small that it proves little
+    monkeypatch.setattr(trie, "FEWEST_CELLS", 64)
+    monkeypatch.setattr(trie, "MOST_CELLS", 128)
+    assert trie_rows(trie.prefix_trie(df)) == want
+    assert trie.prefix_trie(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert trie.prefix_trie(spark.createDataFrame([(None, 1, "user", "x", "k", 1)], SCHEMA)).count() == 0
+
+
+def test_trie_of_copies_and_long_conversations(spark):
+    """Hundreds of equal conversations, and long ones that lie in several partitions and share most of their turns."""
+    rows = [(c, t, "user", f"same {t}", "k", 1) for c in range(10, 400) for t in range(3)]
+    rows += [(c, t, "ua"[t % 2], f"long {t} {'x' * (t % 9)}" + f" {c}" * (t > 600 + c % 7), "k", 1) for c in (1000, 1003, 2001) for t in range(900)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert trie_rows(trie.prefix_trie(df)) == plain_trie_long(rows)
+
+
+def plain_trie_long(rows):
+    """As plain_trie, but with interned prefixes, for long conversations."""
+    names, last, nodes = {}, {}, {}
+    own = {}
+    for c, t, role, text in (r[:4] for r in rows):
+        own.setdefault(c, []).append((t, role.encode(), text.encode()))
+    own = {c: [r[1:] for r in sorted(v)] for c, v in own.items()}
+    parent = {0: None}
+    for c, turns_ in own.items():
+        h, at = zlib.crc32(str(c).encode()) % 9, 0
+        whole = own.get(c - c % 5, [])[:h] + turns_[h:]
+        nodes.setdefault(0, []).append((c, not whole))
+        for d, turn in enumerate(whole, 1):
+            at = names.setdefault((at, turn), len(names) + 1)
+            last[at] = turn
+            nodes.setdefault(at, []).append((c, d == len(whole)))
+    for (up, _), at in names.items():
+        parent[at] = up
+    children = Counter(parent[n] for n in nodes if n)
+    depth, leaves, saved = {}, Counter(), Counter()
+    for n in sorted(nodes):
+        depth[n] = 0 if n == 0 else depth[parent[n]] + 1
+        at, bytes_ = n, (len(nodes[n]) - 1) * len(last[n][1]) if n else 0
+        while at is not None:
+            saved[at] += bytes_
+            leaves[at] += not children[n]
+            at = parent[at]
+    ends = lambda m: hashlib.sha256(",".join(map(str, sorted(c for c, end in m if end))).encode()).hexdigest()
+    return Counter((min(m)[0], depth[n], min(nodes[parent[n]])[0] if n else None, len(m), children[n], leaves[n], saved[n], ends(m)) for n, m in nodes.items())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, jaccard, oracles, pages, permutations, quality_model, quality_rules, repeats, templates, toxicity, turns
+from . import bpe, chat, decontaminate, jaccard, oracles, pages, permutations, quality_model, quality_rules, repeats, templates, toxicity, trie, turns
 from .registry import ORACLES, QUERIES, query, read
 
 __all__ = ["ORACLES", "QUERIES", "VOCABULARY"]
@@ -112,3 +112,9 @@ def op11_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_run_length_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation's faults after damage, and its cheapest repair."""
     return turns.repair_conversations(read(spark, sf_dir, "conversations"))
+
+
+@query("op13_prefix_trie")
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    return trie.prefix_trie(read(spark, sf_dir, "conversations"))
