@@ -25,7 +25,7 @@ def extract_inserts(spark, sf_dir):
  m AS ({o.matches('v', "''[^'']*''")}) SELECT CAST(floor(doc_id / 10000000) AS BIGINT) AS doc_id, doc_id % 10000000 AS insert_start, 'customers' AS table_name,
  doc_id % 10000000 + 29 AS values_start, substr(value, 2, length(value) - 2) AS value, start_pos AS literal_start, end_pos AS literal_end FROM m""")
 def extract_literals(spark, sf_dir):
-    return d.extract_literals(d.extract_inserts(fx.sql_dumps(spark, sf_dir)))
+    return d.extract_literals(fx.sql_dumps(spark, sf_dir))
 
 
 @query("sanitize_dump", f"""WITH {o.KYC_CTE}, p AS (SELECT doc_id AS k, CAST(floor(doc_id / 60) AS BIGINT) AS doc_id, fn, ln,

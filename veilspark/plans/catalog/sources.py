@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veilspark.operators.dumps import extract_inserts
+from veilspark.operators.dumps import extract_literals, sanitize_parts
 from veilspark.operators.sanitize import sanitize_text
 from veilspark.operators.tables import sanitize_columns
 from veilspark.plans import fixtures as fx
@@ -15,6 +15,7 @@ from veilspark.plans.catalog.registry import query
 from veilspark.plans.scan import store_scan
 from veilspark.sources import files as f
 from veilspark.sources import sinks
+from veilspark.sources.dump_files import scan_dump
 
 
 def _text_files(spark, docs, name: str, per_file: int) -> str:
@@ -43,11 +44,46 @@ def scan_csv(spark, sf_dir):
     return sanitize_columns(f.scan_csv_cells(spark, path, schema))
 
 
-@query("scan_sql_dump", "SELECT 'customers' AS table_name, count(*) AS inserts FROM customer")
+# One dump file of all customers: an INSERT of many lines for every ten, literals of several lines, comments with quotes.
+_DUMP_ROW = """concat('(', CAST(doc_id AS VARCHAR(9)), ', ', chr(39), fn, chr(39), ', ', chr(39), <mail>, chr(39), ', ', chr(39), 'phone; note', chr(10), '(', <phone>, ') PAN ', <pan>, chr(39), ')')"""
+_FILE_DUMPS = """SELECT CAST(floor(doc_id / 10) AS BIGINT) AS k, concat('-- customers', chr(39), ' rows; part ', CAST(CAST(floor(doc_id / 10) AS BIGINT) AS VARCHAR(9)), chr(10),
+ 'INSERT INTO ', chr(96), 'customers', chr(96), ' (id, name, email, note)', chr(10), 'VALUES ', string_agg(<row>, concat(',', chr(10))<by>), ';') AS text FROM <kyc> GROUP BY CAST(floor(doc_id / 10) AS BIGINT)"""
+_RAW = {"<mail>": "em", "<phone>": "ph", "<pan>": "pan"}
+_CLEAN = {"<mail>": "'[REDACTED_EMAIL]'", "<phone>": "'[REDACTED_PHONE]'", "<pan>": f"CASE WHEN {o.pan_ok('pan')} THEN '[REDACTED_PAN]' ELSE pan END"}
+
+
+def _file_dumps(values: dict[str, str], by: str) -> str:
+    row = _DUMP_ROW
+    for name, value in values.items():
+        row = row.replace(name, value)
+    return _FILE_DUMPS.replace("<row>", row).replace("<by>", by)
+
+
+_BY = " ORDER BY doc_id"
+
+
+@query("scan_sql_dump", f"""WITH {o.KYC_CTE}, raw AS ({_file_dumps(_RAW, _BY).replace('<kyc>', 'kyc')}), clean AS ({_file_dumps(_CLEAN, _BY).replace('<kyc>', 'kyc')}),
+ n AS (SELECT CAST(floor(doc_id / 10) AS BIGINT) AS k, count(*) * 3 AS literals FROM kyc GROUP BY 1)
+ SELECT 'customers' AS table_name, literals, sha256(substr(raw.text, instr(raw.text, 'VALUES ') + 7)) AS values_sha256, sha256(substr(clean.text, instr(clean.text, 'VALUES ') + 7)) AS sanitized_sha256
+ FROM raw JOIN clean USING (k) JOIN n USING (k)""")
 def scan_sql_dump(spark, sf_dir):
-    path = _text_files(spark, fx.sql_dumps(spark, sf_dir), "dumps", 20)
-    dumps = f.read_files(spark, path, "*.txt")
-    return extract_inserts(dumps, key="filename").groupBy("table_name").agg(F.count("*").alias("inserts"))
+    """All customers in one dump file, read in byte ranges; the values of every statement as they were and sanitised."""
+    path = sinks.new_path(spark, "dumps")
+    texts = spark.sql(_file_dumps(_RAW, ") WITHIN GROUP (ORDER BY doc_id").replace("<kyc>", "{kyc}"), kyc=fx.kyc(spark, sf_dir))
+    texts.coalesce(1).select("text").write.text(path)
+    found = scan_dump(spark, path, "*.txt").where("since IS NOT NULL")
+    clean = sanitize_parts(found, key="file")
+
+    def whole(parts, text):
+        first = F.greatest(F.col("values_at") - F.col("offset"), F.lit(0)).cast("int")
+        own = F.struct("offset", F.substring(F.col(text), first + 1, F.length(text)).alias("t"))
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(own)), lambda p: p["t"]), "")
+        return parts.groupBy("file", "insert_at").agg(F.first("table_name").alias("table_name"), F.sha2(joined, 256).alias("sha"))
+
+    literals = extract_literals(found, key="file").groupBy("file", F.col("insert_start").alias("insert_at")).agg(F.count("*").alias("literals"))
+    raw = whole(found, "text").withColumnRenamed("sha", "values_sha256")
+    done = whole(clean, "sanitized").withColumnRenamed("sha", "sanitized_sha256").drop("table_name")
+    return raw.join(done, ["file", "insert_at"]).join(literals, ["file", "insert_at"]).select("table_name", "literals", "values_sha256", "sanitized_sha256")
 
 
 @query("scan_sheets", """WITH r AS (SELECT CAST(floor(c_custkey / 100) AS BIGINT) AS workbook, c_mktsegment AS sheet, c_custkey,

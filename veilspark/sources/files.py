@@ -71,10 +71,6 @@ def scan_csv_cells(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("pathGlobFilter", "*.csv").csv(path)
 
 
-def scan_sql_dump(spark: SparkSession, path: str) -> DataFrame:
-    return read_files(spark, path, "*.sql")
-
-
 def fingerprint(files: DataFrame, content: str = "content") -> DataFrame:
     return files.withColumn("file_hash_sha256", F.sha2(F.col(content), 256)).withColumn(
         "file_size_bytes", F.octet_length(content).cast("long"))
