@@ -9,10 +9,8 @@ from veilspark.operators.sanitize import sanitize_text
 from veilspark.operators.tables import sanitize_columns
 from veilspark.plans import fixtures as fx
 from veilspark.plans import oracles as o
-from veilspark.plans.catalog.crypto import TEST_KEYS
 from veilspark.plans.catalog.masking import KYC_SCAN, SANITIZED
 from veilspark.plans.catalog.registry import query
-from veilspark.plans.scan import store_scan
 from veilspark.sources import files as f
 from veilspark.sources import sinks
 from veilspark.sources.dump_files import scan_dump
@@ -176,19 +174,3 @@ def write_sanitized(spark, sf_dir):
     sinks.write_sanitized(named, path)
     schema = "doc_id long, sanitized string, sanitized_name string, file_type string"
     return spark.read.schema(schema).parquet(path)
-
-
-@query("write_records", f"""WITH {KYC_SCAN} SELECT 'documents' AS table_name, count(*) AS n FROM kyc UNION ALL SELECT 'pii_records', count(*) FROM fin
- UNION ALL SELECT 'threat_reports', count(*) FROM kyc UNION ALL SELECT 'audit_logs', count(*) * 5 FROM kyc""")
-def write_records(spark, sf_dir):
-    """Store a scan, then count what each table holds."""
-    docs = fx.kyc(spark, sf_dir).select(
-        "doc_id", F.concat(F.lit("kyc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"),
-        F.lit(".txt").alias("file_type"), "text")
-    written = store_scan(docs, sinks.new_path(spark, "scan"), *TEST_KEYS)
-    counts = [spark.read.parquet(path).agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n")
-              for name, path in written.items() if name != "scanned"]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out

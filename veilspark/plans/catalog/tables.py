@@ -69,12 +69,12 @@ def table_header(spark, sf_dir):
 
 
 # Cells of the generated tables, rebuilt from the fields behind them.
-_CELLS = f"""cells AS (SELECT CAST(floor(doc_id / 60) AS BIGINT) AS doc_id, doc_id AS k,
+CELLS = f"""cells AS (SELECT CAST(floor(doc_id / 60) AS BIGINT) AS doc_id, doc_id AS k,
  CAST(row_number() OVER (PARTITION BY floor(doc_id / 60) ORDER BY doc_id) + 1 AS INT) AS line_no, '[REDACTED_NAME]' AS c0,
  CASE WHEN {o.aadhaar_ok('aad')} THEN concat('XXXXXXXX', substr(aad, 9)) ELSE aad END AS c1, repeat('*', length(em)) AS c2, txn AS c3 FROM kyc)"""
 
 
-@query("sanitize_cell", f"""WITH {o.KYC_CTE}, {_CELLS} SELECT doc_id, line_no, col_idx, sanitized FROM (
+@query("sanitize_cell", f"""WITH {o.KYC_CTE}, {CELLS} SELECT doc_id, line_no, col_idx, sanitized FROM (
  SELECT doc_id, line_no, 0 AS col_idx, c0 AS sanitized FROM cells UNION ALL SELECT doc_id, line_no, 1, c1 FROM cells
  UNION ALL SELECT doc_id, line_no, 2, c2 FROM cells UNION ALL SELECT doc_id, line_no, 3, c3 FROM cells)""")
 def sanitize_cell(spark, sf_dir):
@@ -94,7 +94,7 @@ def pad_cell(spark, sf_dir):
         t.pad_cell(name, width, "center").alias("centered"))
 
 
-@query("process_table", f"""WITH {o.TABLES_CTE}, {_CELLS} SELECT tabs.doc_id, concat(string_split(text, chr(10))[1], chr(10), string_split(text, chr(10))[2], chr(10),
+@query("process_table", f"""WITH {o.TABLES_CTE}, {CELLS} SELECT tabs.doc_id, concat(string_split(text, chr(10))[1], chr(10), string_split(text, chr(10))[2], chr(10),
  (SELECT string_agg(concat('| ', rpad(c0, 16, ' '), ' | ', rpad(c1, 14, ' '), ' | ', rpad(c2, 23, ' '), ' | ', rpad(c3, 10, ' '), ' |'), chr(10) ORDER BY k)
   FROM cells WHERE cells.doc_id = tabs.doc_id)) AS sanitized FROM tabs""")
 def process_table(spark, sf_dir):

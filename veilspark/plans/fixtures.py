@@ -77,6 +77,14 @@ SELECT o_orderkey AS doc_id, concat('file_', CAST(o_orderkey AS VARCHAR(12)), CA
 FROM <orders>
 """
 
+# Files of every route: texts, drawn tables under two extensions, dumps, and files nobody can read.
+MIXED = """
+SELECT doc_id * 4 AS doc_id, concat('kyc_', CAST(doc_id AS VARCHAR(9)), '.txt') AS filename, text FROM <kyc>
+UNION ALL SELECT doc_id * 4 + 1, concat('table_', CAST(doc_id AS VARCHAR(9)), CASE WHEN doc_id % 2 = 0 THEN '.CSV' ELSE '.sql' END), text FROM <tabs>
+UNION ALL SELECT doc_id * 4 + 2, concat('dump_', CAST(doc_id AS VARCHAR(9)), '.sql'), text FROM <dumps>
+UNION ALL SELECT doc_id * 4 + 3, concat('tool_', CAST(doc_id AS VARCHAR(9)), '.exe'), text FROM <kyc> WHERE doc_id % 10 = 0
+"""
+
 SPARK = {"<sha>": "sha2", "<bits>": ", 256", "<agg>": "string_agg",
          "<by>": ", chr(10)) WITHIN GROUP (ORDER BY doc_id"}
 DUCKDB = {"<sha>": "sha256", "<bits>": "", "<agg>": "string_agg", "<by>": ", chr(10) ORDER BY doc_id"}
@@ -85,7 +93,7 @@ DUCKDB = {"<sha>": "sha256", "<bits>": "", "<agg>": "string_agg", "<by>": ", chr
 def duckdb_sql(template: str) -> str:
     for token, text in DUCKDB.items():
         template = template.replace(token, text)
-    for name in ("customer", "nation", "kyc", "lineitem", "orders"):
+    for name in ("customer", "nation", "kyc", "lineitem", "orders", "tabs", "dumps"):
         template = template.replace(f"<{name}>", name)
     return template
 
@@ -125,6 +133,10 @@ def sql_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spark(spark, SQL_DUMPS, kyc=kyc(spark, sf_dir))
 
 
+def mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spark(spark, MIXED, kyc=kyc(spark, sf_dir), tabs=pipe_tables(spark, sf_dir), dumps=sql_dumps(spark, sf_dir))
+
+
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spark(spark, ENTITIES, lineitem=load(spark, sf_dir, "lineitem"))
 

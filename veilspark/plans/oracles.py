@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 from veilspark import config as C
-from veilspark.plans.fixtures import ENTITIES, FILES, KYC, PIPE_TABLES, SQL_DUMPS, duckdb_sql
+from veilspark.plans.fixtures import ENTITIES, FILES, KYC, MIXED, PIPE_TABLES, SQL_DUMPS, duckdb_sql
 
 KYC_CTE = f"kyc AS ({duckdb_sql(KYC)})"
 ENT_CTE = f"ent AS ({duckdb_sql(ENTITIES)})"
@@ -17,6 +17,8 @@ FILES_CTE = f"files AS ({duckdb_sql(FILES)})"
 TABLES_CTE = f"{KYC_CTE}, tabs AS ({duckdb_sql(PIPE_TABLES)})"
 DUMPS_CTE = f"{KYC_CTE}, dumps AS ({duckdb_sql(SQL_DUMPS)})"
 
+MIXED_CTE = f"{KYC_CTE}, tabs AS ({duckdb_sql(PIPE_TABLES)}), dumps AS ({duckdb_sql(SQL_DUMPS)}), mixed AS ({duckdb_sql(MIXED)})"
+
 LETTERS_AS_X = r"regexp_replace(text, '\p{L}', 'x', 'g')"
 
 

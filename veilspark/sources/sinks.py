@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,7 +43,7 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
 
 
 def write_records(tables: dict[str, DataFrame], path: str) -> dict[str, str]:
-    """Write documents, pii_records, threat_reports and audit rows as Parquet.
+    """Write documents, sanitised texts, pii_records, threat_reports and audit rows as Parquet.
 
     ``pii_records`` is laid out by entity type; the others by nothing, since
     their readers look up documents.
@@ -55,6 +56,42 @@ def write_records(tables: dict[str, DataFrame], path: str) -> dict[str, str]:
     return written
 
 
+# ---- publishing -------------------------------------------------------------
+
+def begin(path: str) -> str:
+    """A folder of its own for the tables of one scan."""
+    return f"{path.rstrip('/')}/scans/{uuid.uuid4().hex}"
+
+
+def publish(spark: SparkSession, path: str, written: dict[str, str]) -> None:
+    """Show a finished scan to readers: its tables are named in one file, which Spark's commit makes visible as a whole.
+
+    A write that ends before this leaves folders that no manifest names, so nobody reads them.
+    """
+    rows = [(uuid.uuid4().hex, name, folder) for name, folder in written.items()]
+    manifest = spark.createDataFrame(rows, "scan string, table_name string, folder string").coalesce(1)
+    manifest.write.mode("append").json(f"{path.rstrip('/')}/manifest")
+
+
+def published(spark: SparkSession, path: str, table: str, schema: str | None = None) -> DataFrame:
+    """A table of all published scans. The manifest has a few rows for each scan; the driver reads it as it reads a file listing."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        manifest = spark.read.schema("scan string, table_name string, folder string").json(f"{path.rstrip('/')}/manifest")
+        folders = [r["folder"] for r in manifest.where(F.col("table_name") == table).collect()]
+    except AnalysisException:
+        folders = []
+    if not folders:
+        raise LookupError(f"no published scan has a table {table} in {path}")
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    parts = [reader.parquet(folder) for folder in folders]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write a result once and go on from the files.
 
