@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from veilspark import config as C
 from veilspark.functions.checksums import luhn_valid, verhoeff_valid
+from veilspark.functions.text import let
 
 # Letters of any script, digits and underscore may not touch a match.
 NOT_AFTER_WORD = r"(?<![\p{L}\p{N}_])"
@@ -33,6 +34,8 @@ class Recognizer:
     score: ScoreFn
     hint: TextTest | None = None
     context: list[str] = field(default_factory=list)
+    # Parts of a match that count instead of it: array<struct<start_pos,end_pos,value>>, offsets within the match.
+    refine: Callable[[Column], Column] | None = None
     # Every match is removed again by a context rule, so scans that apply the
     # rules need not look for it.
     ruled_out: bool = False
@@ -105,6 +108,35 @@ def ipv6_valid(value: Column) -> Column:
     return F.when(F.contains(value, F.lit("::")), groups <= 7).otherwise(groups == 8)
 
 
+# First digits that card issuers use (ISO/IEC 7812), and the digits a card number may have.
+CARD_PREFIX_REGEX = "^(?:4|5[0-8]|6|3[04-9]|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)|8[12])"
+CARD_MIN_DIGITS, CARD_MAX_DIGITS = 13, 19
+
+
+def cards_in(run: Column) -> Column:
+    """Card numbers in a run of digit groups, each standing one blank or hyphen apart.
+
+    Groups may be of any length: from every group on, the most groups are taken that make an
+    issuer's number with a right check digit, so a code or an expiry that follows stays outside.
+    Numbers found from different groups may overlap; the choice of disjoint spans settles that.
+    """
+    def from_group(groups: Column, i: Column) -> Column:
+        before = F.aggregate(F.slice(groups, 1, i), F.lit(0), lambda n, g: n + F.length(g) + 1)
+        ends = F.transform(F.sequence(i, F.least(i + CARD_MAX_DIGITS, F.size(groups)) - 1), lambda j: F.slice(groups, i + 1, j - i + 1))
+
+        def is_card(some: Column) -> Column:
+            return let(F.array_join(some, ""), lambda d: F.length(d).between(CARD_MIN_DIGITS, CARD_MAX_DIGITS) & d.rlike(CARD_PREFIX_REGEX) & luhn_valid(d))
+
+        def as_span(some: Column) -> Column:
+            size = F.length(F.array_join(some, " "))
+            return F.struct(before.alias("start_pos"), (before + size).alias("end_pos"), F.substring(run, before + 1, size).alias("value"))
+
+        return F.transform(F.slice(F.reverse(F.filter(ends, is_card)), 1, 1), as_span)
+
+    starts = lambda groups: F.flatten(F.transform(F.sequence(F.lit(0), F.size(groups) - 1), lambda i: from_group(groups, i)))
+    return let(F.split(run, "[ -]"), starts)
+
+
 # ---- hints ------------------------------------------------------------------
 
 def has(fragment: str) -> TextTest:
@@ -126,10 +158,9 @@ EMAIL_REGEX = (
     r"(?<![\p{L}\p{N}_.%+-])[\p{L}\p{N}_.%+-]++@[\p{L}\p{N}-]+"
     r"(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
 )
-# Card numbers as issuers group them; digits after a further separator (a code, an expiry) stay outside.
-CARD_REGEX = guarded(
-    r"[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{19}|[0-9]{13,16}"
-)
+# Runs of at least 13 digits in groups; which of the groups are a card is told by ``cards_in``.
+CARD_DIGITS_REGEX = "[0-9](?:[ -]?[0-9]){12}"
+CARD_REGEX = guarded(rf"(?={CARD_DIGITS_REGEX})[0-9]+(?:[ -][0-9]+)*")
 PHONE_REGEX = guarded(
     r"(?:\+[0-9]{1,3}[ -]?)?(?:\([0-9]{3}\)[ -]?|[0-9]{3}[ -])?[0-9]{3}[ -]?[0-9]{4}"
 )
@@ -167,7 +198,7 @@ BIOMETRIC_REGEX = guarded(
 
 BANK: list[Recognizer] = [
     Recognizer("EMAIL_ADDRESS", EMAIL_REGEX, constant(1.0), has("@")),
-    Recognizer("CREDIT_CARD", CARD_REGEX, when_valid(luhn_valid), has_digits(1)),
+    Recognizer("CREDIT_CARD", CARD_REGEX, constant(1.0), lambda text: text.rlike(CARD_DIGITS_REGEX), refine=cards_in),
     Recognizer("PHONE_NUMBER", PHONE_REGEX, constant(0.4), has_digits(3),
                C.CONTEXT_WORDS["PHONE_NUMBER"]),
     Recognizer("PHONE_NUMBER", PHONE_IN_REGEX, constant(0.75), has("+91"),
@@ -210,4 +241,4 @@ def register(recognizer: Recognizer, bank: list[Recognizer] | None = None) -> li
 
 def unvalidated(entity_type: str, score: float) -> list[Recognizer]:
     """Recognizers of a type that keep every match, for rules that check later."""
-    return [replace(r, score=constant(score), context=[]) for r in BANK if r.entity_type == entity_type]
+    return [replace(r, score=constant(score), context=[], refine=None) for r in BANK if r.entity_type == entity_type]

@@ -42,8 +42,14 @@ def _spans_of(scan: str, rec: Recognizer) -> Column:
         return make_span(m["start_pos"], m["end_pos"], F.lit(rec.entity_type),
                          rec.score(m["value"]), m["value"])
 
-    found = F.filter(F.transform(find_all(scan, rec.regex), to_span),
-                     lambda s: s["score"].isNotNull())
+    matches = find_all(scan, rec.regex)
+    if rec.refine is not None:
+        def moved(m: Column) -> Column:
+            return F.transform(rec.refine(m["value"]), lambda part: F.struct(
+                (part["start_pos"] + m["start_pos"]).alias("start_pos"), (part["end_pos"] + m["start_pos"]).alias("end_pos"), part["value"].alias("value")))
+
+        matches = F.flatten(F.transform(matches, moved))
+    found = F.filter(F.transform(matches, to_span), lambda s: s["score"].isNotNull())
     if rec.hint is not None:
         found = F.when(rec.hint(F.col(scan)), found).otherwise(no_spans())
     return found
