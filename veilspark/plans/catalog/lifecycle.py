@@ -84,11 +84,14 @@ def scan_errors(spark, sf_dir):
 
 
 def _arrivals(spark, sf_dir):
-    """Documents written out with an arrival time, as a stream source."""
+    """Documents written out with an arrival time, an hour apart, as a stream source of eight files, two to a batch.
+
+    Documents are dealt to files by their hash, so batches come out of order over the whole span of time.
+    """
     path = sinks.new_path(spark, "arrivals")
-    when = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id"))
-    fx.documents(spark, sf_dir).withColumn("arrived_at", when).write.parquet(path)
-    return st.arriving(spark, path, "doc_id long, text string, arrived_at timestamp")
+    when = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") * 3600)
+    fx.documents(spark, sf_dir).withColumn("arrived_at", when).repartition(8, F.xxhash64("doc_id")).write.parquet(path)
+    return st.arriving(spark, path, "doc_id long, text string, arrived_at timestamp", files_per_trigger=2)
 
 
 def _drain(spark, stream, name: str, schema: str):
@@ -106,18 +109,18 @@ def scan_stream(spark, sf_dir):
 
 @query("stream_dedup", "SELECT DISTINCT sha256(text) AS file_hash FROM documents")
 def stream_dedup(spark, sf_dir):
-    """Each content once, by a stream that remembers hashes for a day."""
-    stream = st.dedup_content(_arrivals(spark, sf_dir), delay="1 day").select("doc_id", "file_hash")
-    return _drain(spark, stream, "dedup", "doc_id long, file_hash string").select("file_hash")
+    """Each content once, in several batches that come out of order."""
+    hashed = _arrivals(spark, sf_dir).select("doc_id", "arrived_at", F.sha2("text", 256).alias("file_hash"))
+    path = sinks.new_path(spark, "dedup")
+    st.dedup_content(hashed, path, sinks.new_path(spark, "dedup-checkpoint")).awaitTermination()
+    return st.first_sights(spark, path, hashed.schema).select("file_hash")
 
 
-@query("stream_threat_trend", f"""WITH {_scan_sql('documents')} SELECT (1700000000 + doc_id) // 600 * 600 AS window_start, threat_level, count(*) AS files FROM res GROUP BY ALL""")
+@query("stream_threat_trend", f"""WITH {_scan_sql('documents')} SELECT (1700000000 + doc_id * 3600) // 86400 * 86400 AS window_start, threat_level, count(*) AS files FROM res GROUP BY ALL""")
 def stream_threat_trend(spark, sf_dir):
-    """Documents by ten minutes and level, open windows included."""
+    """Documents by day and level, in several batches out of order; those in time and those that came late together."""
     scanned = st.scan_stream(_arrivals(spark, sf_dir)).select("arrived_at", "threat_level")
-    trend = st.threat_trend(scanned, width="10 minutes", delay="1 day")
     path = sinks.new_path(spark, "trend")
-    st.write_updates(trend, path, sinks.new_path(spark, "trend-checkpoint")).awaitTermination()
-    updates = spark.read.schema("window_start timestamp, threat_level string, files long, batch int").parquet(path)
-    latest = st.latest_groups(updates, ["window_start", "threat_level"], ["files"])
-    return latest.withColumn("window_start", F.col("window_start").cast("long"))
+    st.write_trend(scanned, path, sinks.new_path(spark, "trend-checkpoint"), delay="1 day").awaitTermination()
+    trend = st.threat_trend(st.trend_updates(spark, path), "1 day")
+    return trend.select(F.col("window_start").cast("long").alias("window_start"), "threat_level", (F.col("files") + F.col("late_files")).alias("files"))
