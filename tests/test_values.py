@@ -8,6 +8,7 @@ from veilspark.functions import masking as m
 from veilspark.functions.checksums import luhn_valid, verhoeff_valid
 from veilspark.functions.text import decode_text
 from veilspark.operators.audit import anchors, append, first_break, load_chain, tails, verify
+from veilspark.operators.gazetteer import detect_places, place_recognizer
 from veilspark.operators.dumps import extract_inserts, extract_literals, sanitize_dump
 from veilspark.operators.patterns import aadhaar_valid, ipv6_valid, pan_valid
 from veilspark.operators.risk import actions_of, level_of, risk_score
@@ -334,3 +335,17 @@ def test_decode(spark):
 def test_unknown_role_is_refused(spark):
     with pytest.raises(ValueError):
         role_projection("guest", None, None)
+
+
+NAMES = ["New York", "New York City", "York", "Newcastle upon Tyne", "Federal Islamic Republic of the Comoro Islands", "São Paulo", "a.b c", "St.", "", "*", None]
+
+
+def test_places_of_any_length(spark):
+    text = "New York City, Newcastle upon Tyne; New Yorker York. Federal Islamic Republic of the Comoro Islands São Paulo xYork a.b c a.b d St. New York Federal Islamic"
+    want = ["New York City", "Newcastle upon Tyne", "York", "Federal Islamic Republic of the Comoro Islands", "São Paulo", "a.b c", "New York"]
+    places = spark.createDataFrame([(n,) for n in NAMES], "name string")
+    rows = explode_spans(dedup(detect(docs(spark, text), types=["LOCATION"], bank=[place_recognizer(places)])), ["doc_id"]).orderBy("start_pos").collect()
+    assert [r.value for r in rows] == want and all(text[r.start_pos:r.end_pos] == r.value for r in rows)
+    joined = {(r.start_pos, r.value) for r in detect_places(docs(spark, text), places).collect()}
+    assert joined >= {(r.start_pos, r.value) for r in rows} and all(text[s:s + len(v)] == v for s, v in joined)
+    assert place_recognizer(places.limit(0)) is None and detect_places(docs(spark, text), places.limit(0)).count() == 0

@@ -31,6 +31,19 @@ def scan_corpus(spark, sf_dir):
     return run_scan(fx.documents(spark, sf_dir)).select(SCANNED)
 
 
+_SENT = f"concat(text, ' sent to ', n_name, CASE WHEN doc_id % 3 = 0 THEN ', the {o.LONG_PLACE}' ELSE ' EASTWARD MIDDLE EASTERN MIDDLE EAST' END)"
+_SENT_CTE = f"{o.KYC_CTE}, sent AS (SELECT doc_id, {_SENT} AS text FROM kyc)"
+_PLACES_SQL = _scan_sql("sent").replace(o.scan("sent", o.DOC_TYPES, scan_of=o.DOC_SCAN), o.scan("sent", [*o.DEFAULT, "LOCATION"]))
+
+
+@query("scan_corpus_places", f"WITH {_SENT_CTE}, {_PLACES_SQL} SELECT * FROM res")
+def scan_corpus_places(spark, sf_dir):
+    """A scan that looks for all types, places by their names in the same pass."""
+    names = [fx.load(spark, sf_dir, "nation").select(F.col("n_name").alias("name")), fx.load(spark, sf_dir, "region").select(F.col("r_name").alias("name"))]
+    places = names[0].union(names[1]).union(spark.range(1).select(F.lit(o.LONG_PLACE).alias("name")))
+    return run_scan(fx.kyc(spark, sf_dir).select("doc_id", F.expr(_SENT).alias("text")), places=places).select(SCANNED)
+
+
 _CHAT = """chat AS (SELECT conv_id * 1000 + turn AS doc_id,
  concat(text, ' write to user', conv_id, '@mail.example.com or call +1 (555) 010-', lpad(CAST(turn AS VARCHAR), 4, '0')) AS text FROM conversations)"""
 

@@ -93,6 +93,9 @@ def person_score(value: str) -> str:
     return f"CASE WHEN {words}[1] IN ({first}) OR {words}[-1] IN ({last}) THEN 1.0 ELSE 0.4 END"
 
 
+#: A place name of more words than most, for queries that look for places.
+LONG_PLACE = "Federal Islamic Republic of the Comoro Islands"
+
 # type -> list of (regex, lead group, condition, base score)
 _LEAD = "(^|[^0-9A-Za-z_])"
 _MONTH = ("Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sept?|September|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?")
@@ -115,6 +118,7 @@ DETECTORS: dict[str, list[tuple[str, int, str, str]]] = {
                    (r"\b[2-9][0-9]{11}\b", 0, aadhaar_ok("value"), "1.0")],
     "IN_PAN": [(r"\b[A-Z]{5}[0-9]{4}[A-Z]\b", 0, pan_ok("value"), "1.0")],
     "BIOMETRIC_HASH": [(r"\b(?:fp_hash|face_tmp|face_template|fingerprint)_[a-f0-9]{6,64}\b", 0, "true", "0.85")],
+    "LOCATION": [(r"\b(?:NATION_[0-9]+|AFRICA|AMERICA|ASIA|EUROPE|MIDDLE EAST|" + LONG_PLACE + r")\b", 0, "true", "0.6")],
     "PERSON": [(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3}\b", 0, "true", person_score("value"))],
 }
 

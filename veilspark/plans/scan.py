@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from veilspark import config as C
 from veilspark.operators.audit import scan_trail
 from veilspark.operators.dumps import sanitize_dump
-from veilspark.operators.patterns import Recognizer
+from veilspark.operators.gazetteer import place_recognizer
+from veilspark.operators.patterns import Recognizer, register
 from veilspark.operators.risk import report_json, score_docs, threat_report
 from veilspark.operators.sanitize import dual_state, masked_text, records_of, scan_spans
 from veilspark.operators.spans import explode_spans, no_spans
@@ -22,12 +23,16 @@ SCORES = ["entity_count", "risk_score", "threat_level"]
 
 
 def scan_corpus(docs: DataFrame, text: str = "text", profile: str = "default", capped: bool = False,
-                bank: list[Recognizer] | None = None) -> DataFrame:
+                bank: list[Recognizer] | None = None, places: DataFrame | None = None) -> DataFrame:
     """Spans, masked text, count, risk and level next to each document.
 
     One narrow pass: nothing is shuffled, whatever the number of documents.
     ``capped`` applies the parity caps; by default whole texts are scanned.
+    ``places(name)`` are names to find as LOCATION, in the same pass.
     """
+    recognizer = None if places is None else place_recognizer(places)
+    if recognizer is not None:
+        bank = register(recognizer, bank)
     if capped:
         docs = docs.withColumn(text, truncate_guard(F.col(text)))
     scanned = scan_spans(docs, text, profile, bank)
