@@ -91,3 +91,33 @@ def test_row_and_table_forms_agree(spark):
     a = explode_spans(dedup(packed), ["doc_id"]).select(cols).collect()
     b = dedup_entities(df).select(cols).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def one_document(spark, n, seed=1):
+    rnd = random.Random(seed)
+    rows = [(k, rnd.choice(TYPES), s, s + rnd.randrange(5, 40), rnd.randrange(40, 100) / 100) for k, s in enumerate(sorted(rnd.randrange(0, n * 60) for _ in range(n)))]
+    flat = spark.createDataFrame([(0, *x) for x in rows], "doc_id long, ord int, entity_type string, start_pos int, end_pos int, score double")
+    spans = F.array_sort(F.collect_list(F.struct("start_pos", "end_pos", "entity_type", "score", F.col("ord").cast("string").alias("value")))).cast(SPANS)
+    return flat, flat.groupBy("doc_id").agg(spans.alias("spans"))
+
+
+def test_row_linkage_equals_the_table_form(spark):
+    for n in (1, 2, 7, 900):
+        flat, nested = one_document(spark, n, n)
+        for in_row, in_table in ((r.row_name_phone, r.table_name_phone), (r.row_name_aadhaar, r.table_name_aadhaar), (r.row_profile_escalation, r.table_profile_escalation)):
+            got = {int(x.value): x.score for x in explode_spans(in_row(nested), ["doc_id"]).collect()}
+            assert got == rescored(in_table(flat))
+
+
+def test_row_linkage_is_linear(spark):
+    import time
+
+    took = []
+    for n in (1_000, 10_000, 40_000):
+        nested = one_document(spark, n)[1].repartition(1)
+        nested.persist().count()
+        start = time.perf_counter()
+        r.row_profile_escalation(r.row_name_phone(nested)).select(F.sum(F.aggregate("spans", F.lit(0.0), lambda a, s: a + s["score"]))).collect()
+        took.append(time.perf_counter() - start)
+        nested.unpersist()
+    assert took[2] < 8 * took[1] + 2, took

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from veilspark import config as C
 from veilspark.functions.checksums import luhn_valid
-from veilspark.functions.text import contains_any, window_text
+from veilspark.functions.text import contains_any, let, window_text
 from veilspark.operators.spans import make_span
 
 
@@ -27,22 +27,44 @@ def _raised(score: Column, floor: float) -> Column:
 
 # ---- linkage rules inside the row -------------------------------------------
 
+# Names and targets are not compared pair by pair: edges are sorted once per document, and how
+# many lie in a range is the difference of two binary searches.
+
+def _starts(spans: Column, entity_type: str, edge: str = "start_pos") -> Column:
+    return F.array_sort(F.transform(F.filter(spans, lambda s: s["entity_type"] == entity_type), lambda s: s[edge]))
+
+
+def _steps(spans: Column) -> Column:
+    """Step widths of a search in an array no longer than ``spans``, widest first."""
+    return F.filter(F.array(*[F.lit(1 << k) for k in range(26, -1, -1)]), lambda k: k <= F.size(spans))
+
+
+def _below(edges: Column, steps: Column, limit: Column) -> Column:
+    """How many of the sorted ``edges`` lie below ``limit``."""
+    return F.aggregate(steps, F.lit(0), lambda at, k: F.when(F.get(edges, at + k - 1) < limit, at + k).otherwise(at))
+
+
+def _any_within(edges: Column, steps: Column, low: Column, high: Column) -> Column:
+    """Does an edge lie between ``low`` and ``high``, both included?"""
+    return _below(edges, steps, high + 1) > _below(edges, steps, low)
+
+
 def _row_near_person(docs: DataFrame, target: str, below: float, window: int,
                      floor: float, spans: str) -> DataFrame:
-    people = F.filter(F.col(spans), lambda p: p["entity_type"] == "PERSON")
-    staged = docs.withColumn("_people", people)
-
-    def lift(s: Column) -> Column:
-        near = F.exists(
-            F.col("_people"),
-            lambda p: (F.abs(s["start_pos"] - p["end_pos"]) < window)
-            | (F.abs(p["start_pos"] - s["end_pos"]) < window),
-        )
-        hit = (s["entity_type"] == target) & (s["score"] < below) & near
-        return F.when(hit, _rescored(s, _raised(s["score"], floor))).otherwise(s)
+    col = F.col(spans)
+    # Bound by ``let``: an extra column would be put into the lambda by the optimizer and sorted again for every span.
+    edges = F.struct(_starts(col, "PERSON").alias("from"), _starts(col, "PERSON", "end_pos").alias("to"), _steps(col).alias("steps"))
+
+    def lifted(e: Column) -> Column:
+        def lift(s: Column) -> Column:
+            near = _any_within(e["to"], e["steps"], s["start_pos"] - window + 1, s["start_pos"] + window - 1) | _any_within(
+                e["from"], e["steps"], s["end_pos"] - window + 1, s["end_pos"] + window - 1)
+            hit = (s["entity_type"] == target) & (s["score"] < below)
+            return F.when(F.when(hit, near).otherwise(False), _rescored(s, _raised(s["score"], floor))).otherwise(s)
 
-    lifted = F.when(F.size("_people") > 0, F.transform(F.col(spans), lift)).otherwise(F.col(spans))
-    return staged.withColumn(spans, lifted).drop("_people")
+        return F.when(F.size(e["from"]) > 0, F.transform(col, lift)).otherwise(col)
+
+    return docs.withColumn(spans, let(edges, lifted))
 
 
 def row_name_phone(docs: DataFrame, spans: str = "spans") -> DataFrame:
@@ -58,28 +80,30 @@ def row_profile_escalation(docs: DataFrame, spans: str = "spans") -> DataFrame:
 
     A name qualifies when its window holds a national number, or a phone and an
     e-mail. That implies the document-level test, which is therefore not needed.
+    A place is covered when more windows have begun up to it than have ended before it.
     """
     col = F.col(spans)
+    kinds = {"aadhaar": "IN_AADHAAR", "phone": "PHONE_NUMBER", "email": "EMAIL_ADDRESS"}
+    edges = F.struct(*(_starts(col, t).alias(n) for n, t in kinds.items()), _steps(col).alias("steps"))
 
-    def inside(a: Column, s: Column) -> Column:
-        return s["start_pos"].between(a["start_pos"] - C.PROFILE_BEFORE, a["end_pos"] + C.PROFILE_AFTER)
-
-    def holds(a: Column, entity_type: str) -> Column:
-        return F.exists(col, lambda s: (s["entity_type"] == entity_type) & inside(a, s))
+    def windows(e: Column) -> Column:
+        def qualifies(a: Column) -> Column:
+            holds = {n: _any_within(e[n], e["steps"], a["start_pos"] - C.PROFILE_BEFORE, a["end_pos"] + C.PROFILE_AFTER) for n in kinds}
+            return F.when(a["entity_type"] == "PERSON", holds["aadhaar"] | (holds["phone"] & holds["email"])).otherwise(False)
 
-    def qualifies(a: Column) -> Column:
-        return (a["entity_type"] == "PERSON") & (
-            holds(a, "IN_AADHAAR") | (holds(a, "PHONE_NUMBER") & holds(a, "EMAIL_ADDRESS"))
-        )
+        return let(F.filter(col, qualifies), lambda anchors: F.struct(
+            F.array_sort(F.transform(anchors, lambda a: a["start_pos"] - C.PROFILE_BEFORE)).alias("from"),
+            F.array_sort(F.transform(anchors, lambda a: a["end_pos"] + C.PROFILE_AFTER)).alias("to"), e["steps"].alias("steps")))
 
-    staged = docs.withColumn("_anchors", F.filter(col, qualifies))
+    def lifted(w: Column) -> Column:
+        def lift(s: Column) -> Column:
+            begun, ended = _below(w["from"], w["steps"], s["start_pos"] + 1), _below(w["to"], w["steps"], s["start_pos"])
+            covered = F.when(s["score"] < 0.9, begun > ended).otherwise(False)
+            return F.when(covered, _rescored(s, _raised(s["score"], 0.95))).otherwise(s)
 
-    def lift(s: Column) -> Column:
-        covered = F.exists(F.col("_anchors"), lambda a: inside(a, s))
-        return F.when((s["score"] < 0.9) & covered, _rescored(s, _raised(s["score"], 0.95))).otherwise(s)
+        return F.when(F.size(w["from"]) > 0, F.transform(col, lift)).otherwise(col)
 
-    lifted = F.when(F.size("_anchors") > 0, F.transform(col, lift)).otherwise(col)
-    return staged.withColumn(spans, lifted).drop("_anchors")
+    return docs.withColumn(spans, let(let(edges, windows), lifted))
 
 
 # ---- rules that read the text -----------------------------------------------
