@@ -450,6 +450,19 @@ def test_chats_link_order_check_and_serialise(spark):
     assert chat.format_chats(messages.limit(0), tools).count() == 0
 
 
+def test_chats_with_odd_arguments(spark):
+    deep = {name: "[" * n + "]" * n for name, n in (("c1", 100_000), ("c2", 3_000))}
+    given = [("c0", "f", '{"a":"\\ud800x"}'), ("c1", "f", deep["c1"]), ("c2", "f", deep["c2"]), ("c3", "broken", "{}"), ("c4", "f", '{"\\udfff":1}'), ("c5", "f", "{}")]
+    rows = [(1, k, "assistant", None, [call], None) for k, call in enumerate(given)]
+    tools = spark.createDataFrame([("f", '{"type":"object","properties":{"a":{"type":"string"}},"additionalProperties":false}'), ("broken", "{")], "name string, schema string")
+    got = {r["call_id"]: r for r in chat.format_chats(spark.createDataFrame(rows, chat.MESSAGES), tools).collect()}
+    assert {i: r["valid"] for i, r in got.items()} == {"c0": True, "c1": False, "c2": False, "c3": False, "c4": False, "c5": True}
+    assert got["c3"]["errors"] == ["$: schema is not JSON"] and got["c1"]["errors"] == ["$: nested too deep"]
+    for i, arguments in deep.items():
+        assert json.loads(got[i]["json"])["tool_call"]["arguments"] == arguments
+    assert json.loads(got["c0"]["json"])["tool_call"]["arguments"] == {"a": "\ud800x"}
+
+
 def test_chat_chains_of_late_needs(spark):
     calls = [(1, 0, "assistant", None, [(f"c{k}", "f", json.dumps({"x": f"$c{k + 1}"}) if k < 11 else "{}") for k in range(12)], None)]
     answers = [(1, k + 1, "tool", "r", None, f"c{k}") for k in range(12)]

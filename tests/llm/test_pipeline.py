@@ -3,24 +3,26 @@
 from collections import Counter
 
 import corpus_pipeline
+from veilspark.llm.blocks import store
+
 from test_operators import plain_components, plain_hits, plain_quality, texts
 
 SMALL = "/root/testdata/sf0.001"
 
 
 def test_stages_keep_and_change_what_they_should(spark):
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet").cache()
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_duplicates", "benchmark_decontamination", "bpe_encoding"]
     quality, lines, near, leaks, encode = (f for _, f in corpus_pipeline.STAGES)
 
-    one = quality(spark, docs, SMALL).cache()
+    one = store(quality(spark, docs, SMALL), "one")
     assert one.columns == docs.columns and {r["doc_id"] for r in one.collect()} == {i for i, t in texts(docs) if plain_quality(t)[6]}
-    two = lines(spark, one, SMALL).cache()
+    two = store(lines(spark, one, SMALL), "two")
     assert two.columns == docs.columns and two.count() == one.count()
-    three = near(spark, two, SMALL).cache()
+    three = store(near(spark, two, SMALL), "three")
     assert Counter(i for i, _ in texts(three)) == Counter(i for i, _, c in plain_components(texts(two), 5, 80) if i == c)
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
-    four = leaks(spark, three, SMALL).cache()
+    four = store(leaks(spark, three, SMALL), "four")
     assert {r["doc_id"] for r in four.collect()} == {i for i, n, hit, _ in plain_hits(texts(three), items, 10) if 100 * hit <= 50 * n}
     assert all(not hit for _, _, hit, _ in plain_hits(texts(four), items, 10))
     assert all(r["n_chars"] == len(r["text"]) for r in four.collect())
