@@ -35,8 +35,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """The document of smallest id of each group; of rows with equal id and text one. Rows without an id stay."""
     found = store(jaccard.similar(docs, words=SHINGLE_WORDS, percent=SIMILAR_PERCENT), "similar")
     kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).withColumnRenamed("doc_id", "kept_id")
-    single = docs.join(kept.where("rows = 1"), docs.doc_id == F.col("kept_id"), "left_semi")
-    repeated = docs.join(kept.where("rows > 1"), docs.doc_id == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id", "text"])
+    own = F.col("d.doc_id") == F.col("k.kept_id")  # aliases: the documents may have a column of that name
+    single = docs.alias("d").join(kept.where("rows = 1").alias("k"), own, "left_semi")
+    repeated = docs.alias("d").join(kept.where("rows > 1").alias("k"), own, "left_semi").dropDuplicates(["doc_id", "text"])
     return single.unionByName(repeated).unionByName(docs.where("doc_id IS NULL"))
 
 
