@@ -131,3 +131,74 @@ p AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(lis
       FROM v AS q JOIN v AS c ON q.vec_id % {every} = 0 AND q.vec_id <> c.vec_id)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM p) WHERE rank <= {k}"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII string, bit by bit."""
+    byte = "lambda a, j: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END"
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: CAST(ascii(substr({text}, i, 1)) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), {byte})), 4294967295)"
+
+
+def repairs(conversations: str = "conversations") -> str:
+    """Faults and cheapest edits of op12: the best (cost, audit) of each state, row by row, as strings that sort like them."""
+    def add(s: str, letter: str, cost: str) -> str:
+        return f"CASE WHEN {s} = '~' THEN '~' ELSE concat(lpad(CAST(CAST(left({s}, 6) AS INT) + {cost} AS VARCHAR), 6, '0'), substr({s}, 7), '{letter}') END"
+
+    def where(cond: str, s: str) -> str:
+        return f"CASE WHEN {cond} THEN {s} ELSE '~' END"
+
+    user = f"least(v[3], {add('v[1]', 'I', '2')}, {add('v[2]', 'I', '2')}, {add('v[4]', 'I', '2')})"
+    grown = f"list_transform([[v[1], v[2], {user}, v[4]]], lambda u: [u[1], u[2], u[3], least(u[4], {add('u[3]', 'I', '2')})])[1]"
+    more, may = "CASE WHEN e[2] = '3' THEN 1 ELSE 0 END", "e[2] IN ('0', '3')"
+    to = lambda letter, cost: f"least({', '.join(add(f'w[{k}]', letter, cost) for k in (1, 2, 4))})"
+    step = f"""list_transform([{grown}], lambda w: [{add('w[1]', 'D', '3')},
+  least({add('w[2]', 'D', '3')}, {where(f"e[1] = 's' AND {may}", add('w[1]', 'K', more))}),
+  least({add('w[3]', 'D', '3')}, {where(may, to('R', f'2 + {more}'))}, {where(f"e[1] = 'u' AND {may}", to('K', more))}),
+  least({add('w[4]', 'D', '3')}, {where(may, add('w[3]', 'R', f'2 + {more}'))}, {where(f"e[1] = 'a' AND {may}", add('w[3]', 'K', more))})])[1]"""
+    return rf"""
+WITH x AS MATERIALIZED (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  {_crc32("concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS fate FROM {conversations}),
+y AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(CASE WHEN fate = 3 THEN [0, 1] ELSE [0] END) AS copy FROM x WHERE fate <> 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM y),
+f AS MATERIALIZED (SELECT *, CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'x' END AS initial,
+  CASE WHEN NOT regexp_matches(text, '[^{_SPACE}]') THEN '1' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN '2'
+  WHEN NOT regexp_matches(text, '[.!?][{_SPACE}]*\z') THEN '3' ELSE '0' END AS fault FROM r),
+g AS (SELECT conv_id, CASE WHEN max(turn) IS NULL THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps,
+  count(*) FILTER (fault = '1') AS blank, count(*) FILTER (fault = '2') AS duplicate, count(*) FILTER (fault = '3') AS truncated,
+  string_agg(initial, '' ORDER BY i) AS initials, list([initial, fault] ORDER BY i) AS rows FROM f GROUP BY conv_id),
+v AS (SELECT * EXCLUDE (rows), list_reduce(list_prepend(['000000', '~', '~', '~'], rows), lambda v, e: {step}) AS v FROM g),
+b AS MATERIALIZED (SELECT conv_id, gaps, blank, duplicate, truncated, list_sum(list_transform(range(1, length(initials)), lambda k: CASE WHEN substr(initials, k, 2) IN ('su', 'ua', 'au') THEN 0 ELSE 1 END)) AS illegal,
+  list_transform([{grown}], lambda u: least(u[1], u[4]))[1] AS best FROM v),
+o AS (SELECT conv_id, k, substr(best, 6 + k, 1) AS op FROM (SELECT conv_id, best, unnest(range(1, length(best) - 5)) AS k FROM b)),
+p AS (SELECT *, sum(CASE WHEN op <> 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY k) AS i FROM o),
+kept AS (SELECT p.conv_id, k, op, role, text, initial, row_number() OVER (PARTITION BY p.conv_id ORDER BY k) AS e FROM p LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i WHERE op <> 'D'),
+lead AS (SELECT conv_id, CASE WHEN op = 'K' AND initial = 's' THEN 1 ELSE 0 END AS lead FROM kept WHERE e = 1),
+done AS (SELECT kept.conv_id, sha256(string_agg(concat(CASE WHEN op = 'K' THEN role WHEN (e - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END, ':', CASE WHEN op = 'I' THEN '' ELSE text END), chr(10) ORDER BY k)) AS h
+  FROM kept JOIN lead ON lead.conv_id IS NOT DISTINCT FROM kept.conv_id GROUP BY kept.conv_id)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(CAST(left(best, 6) AS INT), 0) AS BIGINT) AS cost, coalesce(substr(best, 7), '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM {conversations}) AS a LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM a.conv_id"""
+
+
+def prefix_trie(conversations: str = "conversations") -> str:
+    """Nodes of op13, by whole prefixes; a subtree is what conversations of a node pass below it."""
+    return f"""
+WITH c AS MATERIALIZED (SELECT conv_id, md5(concat(length(role), ':', role, text)) AS m, strlen(text) AS b, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM {conversations} WHERE conv_id IS NOT NULL)),
+n AS (SELECT conv_id, max(i) AS n FROM c GROUP BY conv_id),
+ids AS MATERIALIZED (SELECT conv_id, conv_id - conv_id % 5 AS base, {_crc32('CAST(conv_id AS VARCHAR)')} % 9 AS h FROM n),
+t AS (SELECT ids.conv_id, i AS d, m, b FROM ids JOIN c ON c.conv_id = base AND i <= h
+  UNION ALL SELECT ids.conv_id, least(h, coalesce(n, 0)) + i - h, m, b FROM ids JOIN c ON c.conv_id = ids.conv_id AND i > h LEFT JOIN n ON n.conv_id = base),
+p AS MATERIALIZED (SELECT conv_id, d, md5(string_agg(m, '') OVER (PARTITION BY conv_id ORDER BY d)) AS k, b FROM t UNION ALL SELECT conv_id, 0, '', 0 FROM ids),
+ends AS (SELECT conv_id, max(d) AS l FROM p GROUP BY conv_id),
+nodes AS MATERIALIZED (SELECT k, d, min(conv_id) AS conv_id, count(*) AS n, any_value(b) AS b, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (d = l), '')) AS ends
+  FROM p JOIN ends USING (conv_id) GROUP BY k, d),
+up AS MATERIALIZED (SELECT DISTINCT p.k, a.k AS above FROM p JOIN p AS a ON a.conv_id = p.conv_id AND a.d = p.d - 1),
+kids AS (SELECT above AS k, count(*) AS kids FROM up GROUP BY above),
+below AS (SELECT DISTINCT p.k AS top, w.k FROM p JOIN p AS w ON w.conv_id = p.conv_id AND w.d >= p.d),
+sums AS (SELECT top AS k, sum((n - 1) * b) AS saved, count(*) FILTER (kids IS NULL) AS leaves FROM below JOIN nodes USING (k) LEFT JOIN kids USING (k) GROUP BY top)
+SELECT nodes.conv_id, CAST(nodes.d AS BIGINT) AS depth, above.conv_id AS parent_conv_id, CAST(nodes.n AS BIGINT) AS n_convs, CAST(coalesce(kids, 0) AS BIGINT) AS n_children,
+  CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, nodes.ends AS ends_sha256
+FROM nodes JOIN sums USING (k) LEFT JOIN kids USING (k) LEFT JOIN up USING (k) LEFT JOIN nodes AS above ON above.k = up.above"""

@@ -108,13 +108,13 @@ def op11_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutations.neighbours(read(spark, sf_dir, "embeddings"))
 
 
-@query("op12_run_length_repair")
+@query("op12_run_length_repair", oracles.repairs())
 def op12_run_length_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation's faults after damage, and its cheapest repair."""
     return turns.repair_conversations(read(spark, sf_dir, "conversations"))
 
 
-@query("op13_prefix_trie")
+@query("op13_prefix_trie", oracles.prefix_trie())
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the trie of rebuilt conversations."""
     return trie.prefix_trie(read(spark, sf_dir, "conversations"))
