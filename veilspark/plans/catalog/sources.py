@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from veilspark.operators.dumps import extract_literals, sanitize_parts
 from veilspark.operators.sanitize import sanitize_text
+from veilspark.operators.spans import explode_spans
 from veilspark.operators.tables import sanitize_columns
 from veilspark.plans import fixtures as fx
 from veilspark.plans import oracles as o
@@ -14,6 +15,7 @@ from veilspark.plans.catalog.registry import query
 from veilspark.sources import files as f
 from veilspark.sources import sinks
 from veilspark.sources.dump_files import scan_dump
+from veilspark.sources.text_files import scan_pieces, text_pieces
 
 
 def _text_files(spark, docs, name: str, per_file: int) -> str:
@@ -31,6 +33,20 @@ def scan_text(spark, sf_dir):
         F.sum(F.length("text")).alias("chars"), F.sum("file_size_bytes").alias("bytes"))
 
 
+# Lines between the texts of one file, more than any rule looks across.
+_GAP = "repeat(concat('- - - - - - - -', chr(10)), 80)"
+
+
+@query("scan_text_pieces", f"""WITH {KYC_SCAN}, laid AS (SELECT doc_id, sum(length(text) + length({_GAP}) + 1) OVER (ORDER BY doc_id) - length(text) - length({_GAP}) - 1 AS begins FROM kyc)
+ SELECT CAST(begins + start_pos AS BIGINT) AS start_pos, CAST(begins + end_pos AS BIGINT) AS end_pos, entity_type, score, value FROM fin JOIN laid USING (doc_id)""")
+def scan_text_pieces(spark, sf_dir):
+    """All customers' texts in one file, read in byte ranges and scanned in pieces."""
+    path = sinks.new_path(spark, "long-text")
+    texts = fx.kyc(spark, sf_dir).select("doc_id", F.concat("text", F.expr(_GAP)).alias("text"))
+    texts.coalesce(1).sortWithinPartitions("doc_id").select("text").write.text(path)
+    return explode_spans(scan_pieces(text_pieces(spark, path)), ["file"]).drop("file")
+
+
 @query("scan_csv", f"""WITH {o.KYC_CTE} SELECT doc_id, concat(fn, ' ', ln) AS name, '[REDACTED_EMAIL]' AS email,
  '[REDACTED_PHONE]' AS phone, txn AS serial FROM kyc""")
 def scan_csv(spark, sf_dir):

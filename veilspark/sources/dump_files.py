@@ -41,7 +41,7 @@ def dump_lines(spark: SparkSession, path: str, glob: str = "*.sql") -> DataFrame
         (F.octet_length("value") + 1).cast("long").alias("n_bytes"), decode_text(F.col("value").cast("binary")).alias("line"))
 
 
-def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], int, int]]:
+def runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], int, int]]:
     """((file, block), first row, row after the last) of the ranges in a batch."""
     files, blocks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
     first = 0
@@ -63,7 +63,7 @@ def range_maps(lines: DataFrame) -> DataFrame:
 
         for batch in batches:
             maps, length, octets, sizes = (batch.column(k).to_pylist() for k in (2, 3, 4, 5))
-            for own, first, stop in _runs(batch):
+            for own, first, stop in runs(batch):
                 if own != key:
                     if key:
                         yield row()
@@ -134,7 +134,7 @@ def _read(batches, begins: dict[tuple[str, int], Begin], finish) -> Iterator[pa.
     key, reader = None, None
     for batch in batches:
         lines = batch.column(2).to_pylist()
-        for own, first, stop in _runs(batch):
+        for own, first, stop in runs(batch):
             if own != key:
                 if reader:
                     yield from finish(key, reader, _texts(reader, [reader.close()]), True)
