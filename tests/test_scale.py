@@ -121,3 +121,26 @@ def test_row_linkage_is_linear(spark):
         took.append(time.perf_counter() - start)
         nested.unpersist()
     assert took[2] < 8 * took[1] + 2, took
+
+
+def test_a_hundred_columns_are_planned_at_once(spark):
+    import time
+
+    from veilspark.operators.sanitize import sanitize_text
+    from veilspark.operators.tables import sanitize_columns
+
+    values = ["ann@example.com", "+91 98765 43210", "ABCPK1234F", "plain", None, "", "4111 1111 1111 1111", "note 2345678"]
+    names = [["email", "phone", "pan", "city", "mobile", "remark", "credit card", "contact"][k % 8] + f"_{k}" for k in range(100)]
+    df = spark.createDataFrame([tuple(values[(k + r) % 8] for k in range(100)) for r in range(8)], ", ".join(f"`{n}` string" for n in names))
+    clean = sanitize_columns(df, names)
+    start = time.perf_counter()
+    plan_of(clean)
+    assert time.perf_counter() - start < 5
+    # each cell as it would be alone, behind its column's keyword
+    words = {n: next((w + " " for w in ("email", "phone", "pan", "mobile", "credit card") if w in n), "") for n in names}
+    alone = sorted({(words[n], v) for n in names for v in values if v})
+    single = spark.createDataFrame([(w, v, w + v) for w, v in alone], "word string, value string, text string")
+    want = {(r["word"], r["value"]): r["sanitized"][len(r["word"]):] for r in sanitize_text(single).collect()}
+    for before, after in zip(df.collect(), clean.collect(), strict=True):
+        assert list(after) == [want[words[n], v] if v else v for n, v in zip(names, before, strict=True)]
+    assert sum(v != w for (_, v), w in want.items()) > 10

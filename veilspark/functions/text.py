@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Non-characters set aside by Unicode for a program's own use.
-OPEN, CLOSE, SAFE = "\ufdd0", "\ufdd1", "\ufdd2"
+OPEN, CLOSE, SAFE, GAP = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3"
 
 MATCHES = "array<struct<start_pos:int,end_pos:int,value:string>>"
 

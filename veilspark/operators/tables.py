@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veilspark import config as C
 from veilspark.functions.masking import Profile, anonymize, operator_profile
+from veilspark.functions.text import GAP
 from veilspark.operators.sanitize import sanitize_text
 from veilspark.operators.spans import dedup, detect, make_span, stitch
 
@@ -216,18 +217,39 @@ def column_class_of(name: str) -> str | None:
     return None if any(w in lowered for w in C.NON_PII_HEADERS) else "any"
 
 
+def column_context(name: str) -> str:
+    """The keyword that tells a column's class, as context in front of its values."""
+    lowered = name.strip().lower()
+    return next((f"{word} " for word, _ in C.COLUMN_KEYWORDS if word in lowered), "")
+
+
+#: Between the cells of a row: words that mean nothing, more than any rule looks across.
+CELL_GAP = "\n" + f"{GAP} " * (C.WIDE_WINDOW // 2 + 10) + "\n"
+
+
 def sanitize_columns(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Sanitise the string columns whose names may hold personal data.
 
-    Columns are handled in the row they are in; others are passed through
-    untouched and need not even be read by the job that writes the result.
+    The cells of a row are scanned as one text, each behind the keyword of its column, and cut
+    apart again: one bank is planned, whatever the number of columns, and a row stays where it is.
+    Gaps of marker characters keep cells out of each other's context. Other columns are passed
+    through untouched and need not even be read by the job that writes the result.
     """
     wanted = [
         f.name for f in df.schema.fields
         if f.dataType.simpleString() == "string"
         and (f.name in columns if columns is not None else column_class_of(f.name) is not None)
     ]
-    order = df.columns
-    for name in wanted:
-        df = sanitize_text(df, name, "_clean").drop(name).withColumnRenamed("_clean", name)
-    return df.select(order)
+    if not wanted:
+        return df
+    cells = [F.concat(F.lit(column_context(n)), F.coalesce(F.col(f"`{n}`"), F.lit(""))) for n in wanted]
+    done = sanitize_text(df.withColumn("_cells", F.concat_ws(CELL_GAP, *cells)), "_cells", "_clean")
+    # An array column, not an expression repeated for every column.
+    done = done.withColumn("_parts", F.split("_clean", rf"\Q{CELL_GAP}\E", -1))
+
+    def cell(k: int, name: str) -> Column:
+        own = F.get(F.col("_parts"), F.lit(k))
+        return F.when(F.col(f"`{name}`").isNotNull(), F.substring(own, F.lit(len(column_context(name)) + 1), F.length(own)))
+
+    place = {n: k for k, n in enumerate(wanted)}
+    return done.select(*[cell(place[n], n).alias(n) if n in place else F.col(f"`{n}`") for n in df.columns])

@@ -125,3 +125,8 @@ def reset_stuck(docs: DataFrame) -> DataFrame:
     stuck = F.col("status") == "processing"
     return docs.withColumn("error_message", F.when(stuck, F.lit(STUCK_MESSAGE))).withColumn(
         "status", F.when(stuck, F.lit("failed")).otherwise(F.col("status")))
+
+
+def stuck_count(docs: DataFrame) -> DataFrame:
+    """How many documents a reset changes."""
+    return docs.agg(F.count_if(F.col("status") == "processing").alias("reset"))

@@ -91,6 +91,11 @@ def reset_stuck(spark, sf_dir):
     return v.reset_stuck(fx.files(spark, sf_dir)).select("doc_id", "status", "error_message")
 
 
+@query("reset_stuck_count", f"WITH {o.FILES_CTE} SELECT count(*) FILTER (status = 'processing') AS reset FROM files")
+def reset_stuck_count(spark, sf_dir):
+    return v.stuck_count(fx.files(spark, sf_dir))
+
+
 @query("scan_errors", f"""WITH {ROUTED} SELECT doc_id, filename, 'failed' AS status, error_message FROM routed WHERE error_message IS NOT NULL""")
 def scan_errors(spark, sf_dir):
     return split_errors(route_by_type(fx.files(spark, sf_dir).select("doc_id", "filename")))[1]
