@@ -463,6 +463,19 @@ def test_chats_with_odd_arguments(spark):
     assert json.loads(got["c0"]["json"])["tool_call"]["arguments"] == {"a": "\ud800x"}
 
 
+def test_repeats_query_shows_what_is_left(spark, small):
+    rows = QUERIES["op10_interval_tree_repeats"](spark, SMALL).collect()
+    digests = {r["doc_id"]: tuple(r) for r in repeats.remove_repeats(small, digest=True).collect()}
+    whole = dict(texts(small))
+    assert {r["doc_id"]: tuple(r)[:5] for r in rows} == digests
+    for r in rows:
+        assert r["repeats"] == (r["n_removed"] > 0)
+        if not r["repeats"]:
+            assert r["kept_text"] == whole[r["doc_id"]]
+        elif "\ufffd" not in r["kept_text"]:
+            assert hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"]
+
+
 def test_chat_chains_of_late_needs(spark):
     calls = [(1, 0, "assistant", None, [(f"c{k}", "f", json.dumps({"x": f"$c{k + 1}"}) if k < 11 else "{}") for k in range(12)], None)]
     answers = [(1, k + 1, "tool", "r", None, f"c{k}") for k in range(12)]

@@ -98,8 +98,10 @@ def op9_line_template_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_interval_tree_repeats")
 def op10_interval_tree_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of every document outside strings that repeat."""
-    return repeats.remove_repeats(read(spark, sf_dir, "documents"), digest=True)
+    """Bytes of every document outside strings that repeat; ``kept_text`` is what is left, with replacement characters where a character was cut."""
+    left = repeats.remove_repeats(read(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+                       (F.col("n_removed") > 0).alias("repeats"), F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"))
 
 
 @query("op11_permutation_index", oracles.neighbours())
