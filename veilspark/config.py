@@ -201,5 +201,3 @@ NON_PII_HEADERS = [
 GENESIS_HASH = "0" * 64
 # Fixed value of the stored format: lanes of a day's entries.
 AUDIT_LANES = 4
-
-STATUSES = ["uploaded", "processing", "completed", "failed", "quarantined"]

@@ -167,6 +167,7 @@ def report_json(report: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def report_text(report: DataFrame, key: str = "doc_id") -> DataFrame:
     """Fixed-width rendering of a report."""
+    # The wording and widths of the report.
     rule, dash = "=" * 70, "-" * 70
     types = F.transform(
         F.array_sort(F.map_entries("breakdown")),

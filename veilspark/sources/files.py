@@ -61,11 +61,6 @@ def scan_text(spark: SparkSession, path: str) -> DataFrame:
     return read_files(spark, path, "*.txt")
 
 
-def scan_csv_text(spark: SparkSession, path: str) -> DataFrame:
-    """Delimited files as one text each."""
-    return read_files(spark, path, "*.csv")
-
-
 def scan_csv_cells(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Delimited files as rows, with a declared schema (no inference pass)."""
     return spark.read.schema(schema).option("header", True).option("pathGlobFilter", "*.csv").csv(path)
