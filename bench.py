@@ -11,7 +11,10 @@ import os
 import sys
 import time
 
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path.insert(0, HERE)
+# Python workers import the library too, from whatever folder this runs in.
+os.environ["PYTHONPATH"] = os.pathsep.join([HERE, *filter(None, [os.environ.get("PYTHONPATH")])])
 
 HEADLINES = [
     "scan_corpus", "scan_messages", "detect_spans", "sanitize_text", "apply_context_rules",
