@@ -225,3 +225,12 @@ def plain_trie_long(rows):
             at = parent[at]
     ends = lambda m: hashlib.sha256(",".join(map(str, sorted(c for c, end in m if end))).encode()).hexdigest()
     return Counter((min(m)[0], depth[n], min(nodes[parent[n]])[0] if n else None, len(m), children[n], leaves[n], saved[n], ends(m)) for n, m in nodes.items())
+
+
+def test_op1_query_moves_a_call_behind_the_result_it_names(spark, tmp_path):
+    from veilspark.llm.queries import QUERIES
+
+    rows = [(7, 0, "user", "hello"), (7, 1, "assistant", "$call_7_3"), (7, 2, "user", "a"), (7, 3, "assistant", "b"), (7, 4, "user", "c")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["turn"]: (r["at_turn"], r["step"]) for r in QUERIES["op1_tool_call_linking"](spark, str(tmp_path)).collect()}
+    assert got == {0: (0, 0), 1: (4, 1), 2: (4, 2), 3: (3, 0), 4: (4, 0)}
