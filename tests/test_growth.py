@@ -25,3 +25,10 @@ def test_first_characters_are_tested_first_and_change_no_match(spark, rec):
     got = rows.select(every(rec.regex).alias("with"), every((flags or "") + rest).alias("without")).collect()
     assert all(r["with"] == r["without"] for r in got)
     assert any(r["with"] for r in got)
+
+
+def test_text_files_are_cut_in_one_pass(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one line\n" * 50)
+    pieces = text_pieces(spark, str(tmp_path))
+    assert pieces._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert [r["core"] for r in pieces.collect()] == ["one line\n" * 50]

@@ -101,11 +101,12 @@ def text_pieces(spark: SparkSession, path: str, glob: str = "*.txt", piece: int
         if key:
             yield pa.RecordBatch.from_pylist([row(text.removesuffix("\n") if begins[key][1] else text, "", True)])
 
-    pieces = lines.select("file", "block", "line").mapInArrow(cut, _PIECES)
-    inner = pieces.where("NOT first AND NOT last")
-    border = pieces.where("first OR last").join(places.select("file", "block", "before", "behind"), ["file", "block"])
-    border = border.withColumn("lead", F.when(F.col("first"), F.col("before")).otherwise(F.col("lead"))).withColumn("follow", F.when(F.col("last"), F.col("behind")).otherwise(F.col("follow")))
-    return inner.unionByName(border.drop("before", "behind")).select("file", "offset", "lead", "core", "follow")
+    # One pass: two branches, of inner and of border pieces, would read and cut the files twice. There is one row for each range.
+    around_ranges = F.broadcast(places.select("file", "block", "before", "behind"))
+    pieces = lines.select("file", "block", "line").mapInArrow(cut, _PIECES).join(around_ranges, ["file", "block"])
+    lead = F.when(F.col("first"), F.col("before")).otherwise(F.col("lead"))
+    follow = F.when(F.col("last"), F.col("behind")).otherwise(F.col("follow"))
+    return pieces.select("file", "offset", lead.alias("lead"), "core", follow.alias("follow"))
 
 
 def scan_pieces(pieces: DataFrame, **options) -> DataFrame:
