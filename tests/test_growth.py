@@ -32,3 +32,12 @@ def test_text_files_are_cut_in_one_pass(spark, tmp_path):
     pieces = text_pieces(spark, str(tmp_path))
     assert pieces._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     assert [r["core"] for r in pieces.collect()] == ["one line\n" * 50]
+
+
+def test_entries_are_hashed_before_their_links_are_joined(spark):
+    log = spark.createDataFrame([(1, "l", n, str(n), "u", "a", "d") for n in range(4)], "chain_id long, lane string, ord long, timestamp string, user string, action string, details string")
+    chain = audit.append(log).withColumn("action", F.when(F.col("seq") == 2, "X").otherwise(F.col("action")))
+    found = audit.checked(chain).select("chain_id", "lane", "seq", "failure")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftOuter") < plan.index("sha2(")
+    assert sorted((r["seq"], r["failure"]) for r in found.collect()) == [(0, None), (1, None), (2, "hash"), (3, None)]
