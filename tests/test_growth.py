@@ -41,3 +41,14 @@ def test_entries_are_hashed_before_their_links_are_joined(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join LeftOuter") < plan.index("sha2(")
     assert sorted((r["seq"], r["failure"]) for r in found.collect()) == [(0, None), (1, None), (2, "hash"), (3, None)]
+
+
+def test_a_batch_of_the_stream_has_a_file_for_each_core(spark, tmp_path):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    folder = lifecycle.sinks.shared_folder(spark)
+    before = set(glob.glob(f"{folder}/arrivals-*"))
+    lifecycle._arrivals(spark, str(tmp_path))
+    (own,) = set(glob.glob(f"{folder}/arrivals-*")) - before
+    assert len(glob.glob(f"{own}/*.parquet")) == 4 * spark.sparkContext.defaultParallelism
+    assert spark.read.parquet(own).count() == 2000
