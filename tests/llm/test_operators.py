@@ -221,6 +221,39 @@ def test_jaccard_equals_a_plain_version(spark, small, awkward, nothing, monkeypa
     assert jaccard.similar(nothing).count() == 0
 
 
+def rows_made_by_joins(df):
+    """The most rows that a join of the plan makes."""
+    df.collect()
+    plans, most = [df._jdf.queryExecution().executedPlan()], 0
+    while plans:
+        plan = plans.pop()
+        plans += [plan.children().apply(k) for k in range(plan.children().size())]
+        if "Join" in plan.nodeName():
+            most = max(most, plan.metrics().apply("numOutputRows").value())
+    return most
+
+
+def test_jaccard_makes_no_pairs_among_near_copies_that_do_not_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "RARE", 8)
+    rows = list(enumerate(near_copies(200, 200, 5, 6)))
+    made, compared, further, verified = [], [], jaccard.Join.further_pairs, jaccard.Join.verified
+
+    def watched(self, *args):
+        pairs = further(self, *args)
+        made.append(rows_made_by_joins(pairs))
+        return pairs
+
+    monkeypatch.setattr(jaccard.Join, "further_pairs", watched)
+    monkeypatch.setattr(jaccard.Join, "verified", lambda self, pairs: [compared.append(pairs.count()), verified(self, pairs)][1])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert Counter(tuple(r) for r in got.collect()) == plain_components(rows, 4, 85)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert max(made) < 10 * len(rows) and sum(compared) < len(rows)
+
+
 def test_jaccard_prefix_asks_for_more_matches_where_postings_are_long():
     tokens = np.arange(100, dtype=np.uint64) << np.uint64(40)
     many = tokens[:95]

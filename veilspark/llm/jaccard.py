@@ -10,8 +10,15 @@ shingles as the smaller m of the two asks for. Candidates are verified on whole
 
 Equal sets are one class; only classes are joined. Links are needed only as far as they join
 components: first each posting list links its members with one of them; then only members
-whose components still differ are compared, until nothing is left to compare. No link
-between components is lost, and a group of thousands of near copies costs no pairs among all.
+whose components still differ are compared, until nothing is left to compare. These meet at
+the first common shingle they share, which stands among the first n - overlap + 1 of both,
+and one of them lies outside the list's largest component; the rest of what they share is
+counted on their prefixes. No link between components is lost, and a group of thousands of
+near copies costs no pairs among all.
+
+Before whole sets travel, a bitmap of each class tells pairs that cannot be similar: every
+shingle flips one of ``BITS`` bits, so two bitmaps differ in no more bits than their sets in
+shingles.
 
 Shuffles. Shingle counts and prefix postings travel as packed arrays, hashed to many small
 parts whose number follows the shuffle partitions. Common shingles are pre-aggregated per
@@ -28,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import LOWER, SPACE, Block, U, chain, cut, hash_spans, id_type, rows_of, spans, store
@@ -36,6 +43,7 @@ from .components import components
 
 WORDS, PERCENT = 4, 85
 RARE, MAX_COMMON, MAX_MATCHES, FLUSH, WANTED_BITS, PART, MAX_BROADCAST = 32, 1_500_000, 8, 1_500_000, 24, 512, 500_000
+BITS = 512
 
 #: A packed posting: 32 bits of the shingle beside those that name its part, the class, 8 * set size + matches - 1.
 _POSTING = np.dtype([("token", "<u4"), ("key", "<i8"), ("size", "<u4")])
@@ -55,6 +63,16 @@ def class_key(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def flipped(tokens: np.ndarray) -> np.ndarray:
+    """The bitmap of a set, as 64-bit numbers: each shingle flips the bit that its lowest bits name."""
+    odd = np.bincount((tokens & U(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
+#: Columns of a bitmap.
+FLIPPED = [f"bits{k}" for k in range(BITS // 64)]
+
+
 def parts_of(spark: SparkSession) -> int:
     """How many parts packed arrays are hashed to: a power of two, several for each shuffle partition."""
     return 1 << (8 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
@@ -69,16 +87,18 @@ class Join:
         self.parts = parts_of(self.spark)
 
     def members(self, kind: str) -> DataFrame:
-        """(id, n, key): set size and class of every row; empty sets have no class."""
+        """(id, n, key, bitmap): set size, class and bitmap of every row; empty sets have no class."""
         words = self.words
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for block in cut(batches):
                 sets = list(document_sets(block, words))
+                bits = np.array([flipped(s) for s in sets])
                 yield pa.RecordBatch.from_arrays([
-                    block.ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) if len(s) else None for s in sets], pa.int64())], ["id", "n", "key"])
+                    block.ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) if len(s) else None for s in sets], pa.int64()),
+                    *(pa.array(b, pa.int64()) for b in bits.T)], ["id", "n", "key", *FLIPPED])
 
-        return self.rows.mapInArrow(run, f"id {kind}, n long, key long")
+        return self.rows.mapInArrow(run, f"id {kind}, n long, key long, " + ", ".join(f"{c} long" for c in FLIPPED))
 
     def common(self) -> tuple[np.ndarray, np.ndarray, int]:
         """Leading bits of shingles in more than RARE documents (sorted), their document counts, bits cut off.
@@ -172,7 +192,7 @@ class Join:
         return self.rows.mapInArrow(run, "part int, data binary")
 
     def common_postings(self, table) -> DataFrame:
-        """(x, pos, token): every class, as (key, n, m), with each common shingle of its prefix and its place there."""
+        """(x, rare, common): every class, as (key, n, m), with the common shingles of its prefix, in order, and how many rare ones come first."""
         words, percent = self.words, self.percent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,8 +203,7 @@ class Join:
                     pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(matches, pa.int32()), pa.array([len(x) for x in rare], pa.int32()), _lists(common)], ["key", "n", "m", "rare", "common"])
 
         found = self.rows.mapInArrow(run, "key long, n int, m int, rare int, common array<long>").dropDuplicates(["key"])
-        found = found.select(F.struct("key", "n", "m").alias("x"), "rare", F.posexplode("common").alias("at", "token"))
-        return found.select("x", (F.col("rare") + F.col("at") + 1).alias("pos"), "token")
+        return found.select(F.struct("key", "n", "m").alias("x"), "rare", "common")
 
     def lists(self, table) -> DataFrame:
         """Posting lists of two classes or more: (members, times), equal lists united."""
@@ -202,13 +221,27 @@ class Join:
         member = lambda z: F.struct(z["key"].alias("key"), F.shiftright(z["size"], 3).cast("int").alias("n"), (z["size"] % 8 + 1).cast("int").alias("m"))
         return found.select(F.transform(F.arrays_zip("key", "size"), member).alias("members"), "times")
 
-    def _near(self, x: str, y: str) -> F.Column:
+    def _near(self, x: str, y: str) -> Column:
         return F.expr(f"100 * least({x}.n, {y}.n) >= {self.percent} * greatest({x}.n, {y}.n)")
 
-    @staticmethod
-    def _asked(pairs: DataFrame) -> DataFrame:
+    def _overlap(self, x: str, y: str) -> str:
+        """How many shingles sets of the sizes of x and y must share."""
+        return f"(({self.percent} * ({x}.n + {y}.n) + {99 + self.percent}) div {100 + self.percent})"
+
+    def likely(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose bitmaps do not rule out that they are similar."""
+        joined = pairs.join(classes.alias("x"), F.col("a") == F.col("x.key")).join(classes.alias("y"), F.col("b") == F.col("y.key"))
+        differ = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in FLIPPED)
+        return joined.where(f"{differ} <= x.n + y.n - 2 * {self._overlap('x', 'y')}").select("a", "b")
+
+    @property
+    def _pair(self) -> list[Column]:
+        """A pair x, y and how many prefix shingles it must share."""
+        return [F.least("x.key", "y.key").alias("low"), F.greatest("x.key", "y.key").alias("high"), F.least("x.m", "y.m").alias("need")]
+
+    def _asked(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) from x, y and times that share as many prefix shingles as they must; a is an x."""
-        flat = pairs.select(F.least("x.key", "y.key").alias("low"), F.greatest("x.key", "y.key").alias("high"), F.least("x.m", "y.m").alias("need"), F.col("x.key").alias("a"), "times")
+        flat = pairs.select(*self._pair, F.col("x.key").alias("a"), "times")
         counted = flat.groupBy("low", "high", "need").agg(F.sum("times").alias("times"), F.min("a").alias("a")).where("times >= need")
         return counted.select("a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b"))
 
@@ -219,6 +252,7 @@ class Join:
         the text that was copied meets all its copies. So heads are mostly originals, and
         near copies that do not resemble each other enough are linked through them.
         """
+        common = common.select("x", F.explode("common").alias("token"))
         met = single.select("x", "times").union(common.select("x", F.lit(1).cast("long").alias("times")))
         degrees = store(met.groupBy(F.col("x.key").alias("key")).agg(F.sum("times").alias("degree")), "degrees")
         best = F.max_by("x", F.struct("degree", "key")).alias("head")
@@ -236,20 +270,23 @@ class Join:
         mixed = single.groupBy("list", "times").agg(F.collect_list("x").alias("xs"), F.min("x.label").alias("low"), F.max("x.label").alias("high")).where("low <> high")
         pairs = mixed.select("times", "xs", F.explode("xs").alias("x")).select(
             "times", "x", F.explode(F.filter("xs", lambda y: (y["key"] > F.col("x.key")) & (y["label"] != F.col("x.label")))).alias("y"))
-        rows = common.join(labels, F.col("x.key") == labels.key, "left").select("token", F.struct("x.*", "pos", label.alias("label")).alias("x"))
-        spread = rows.groupBy("token").agg(F.min("x.label").alias("low"), F.max("x.label").alias("high")).where("low <> high").select("token")
-        rows = rows.join(spread, "token", "left_semi")
-        # Of the shingles that two similar sets share, the m-th stands no later than n - overlap + m in either.
-        overlap = F.expr(f"({self.percent} * (x.n + y.n) + {99 + self.percent}) div {100 + self.percent} - least(x.m, y.m)")
-        early = (F.col("x.pos") <= F.col("x.n") - overlap) & (F.col("y.pos") <= F.col("y.n") - overlap)
-        other = (F.col("x.key") < F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & self._near("x", "y") & early
-        more = rows.alias("l").join(rows.select("token", F.col("x").alias("y")).alias("r"), (F.col("l.token") == F.col("r.token")) & other)
-        flat = [F.struct(f"{c}.key", f"{c}.n", f"{c}.m").alias(c) for c in "xy"]
-        more = more.select(*flat, F.lit(1).cast("long").alias("times"))
-        every = pairs.where(self._near("x", "y")).select(*flat, "times").unionByName(more)
-        known = tested.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
-        fresh = self._asked(every)
-        return fresh.join(known, (F.least("a", "b") == F.col("low")) & (F.greatest("a", "b") == F.col("high")), "left_anti")
+        # Of the shingles that two similar sets share, the first stands no later than n - overlap + 1 in either.
+        rows = common.join(labels, F.col("x.key") == labels.key, "left").select(F.struct("x.*", label.alias("label")).alias("x"), "rare", F.posexplode("common").alias("at", "token"))
+        rows = rows.select("token", F.struct("x.*", (F.col("rare") + F.col("at") + 1).alias("pos")).alias("x")).where(f"x.pos <= x.n - ({self.percent} * x.n + 99) div 100 + 1")
+        largest = rows.groupBy("token", "x.label").agg(F.count(F.lit(1)).alias("size")).groupBy("token").agg(F.max_by("label", F.struct("size", "label")).alias("largest"), F.count(F.lit(1)).alias("labels"))
+        rows = store(rows.join(largest.where("labels > 1"), "token").select("token", "x", (F.col("x.label") != F.col("largest")).alias("outside")), "early")
+        early = F.expr(f"greatest(x.pos - x.n, y.pos - y.n) <= 1 - {self._overlap('x', 'y')}")
+        other = (F.col("x.label") != F.col("y.label")) & (~F.col("among") | (F.col("x.key") < F.col("y.key"))) & self._near("x", "y") & early
+        every = rows.select("token", F.col("x").alias("y"), F.col("outside").alias("among"))
+        seeds = rows.where("outside").select("token", "x").join(every.withColumnRenamed("token", "met"), (F.col("token") == F.col("met")) & other)
+        every = pairs.where(self._near("x", "y")).select(*self._pair, "times").unionByName(seeds.select(*self._pair, F.lit(0).cast("long").alias("times")))
+        met = every.groupBy("low", "high", "need").agg(F.sum("times").alias("times"))
+        none = F.array().cast("array<long>")
+        held = common.select("x.key", "common")
+        both = met.join(held.select(F.col("key").alias("low"), F.col("common").alias("xs")), "low", "left").join(held.select(F.col("key").alias("high"), F.col("common").alias("ys")), "high", "left")
+        asked = both.where(F.col("times") + F.size(F.array_intersect(F.coalesce("xs", none), F.coalesce("ys", none))) >= F.col("need")).select(F.col("low").alias("a"), F.col("high").alias("b"))
+        known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        return asked.join(known, ["a", "b"], "left_anti")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose whole sets are similar enough.
@@ -297,17 +334,17 @@ class Join:
 
         return rows.mapInArrow(test, "a long, b long").distinct()
 
-    def links(self) -> tuple[DataFrame, DataFrame]:
-        """Verified links between classes that make up all components, and the components' labels."""
+    def links(self, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Verified links between classes (key, n, bitmap) that make up all components, and the components' labels."""
         table = self.spark.sparkContext.broadcast(self.common())
         lists = self.lists(table)
         common = store(self.common_postings(table), "postings")
         single = store(lists.select(F.xxhash64("members").alias("list"), "times", F.explode("members").alias("x")), "members")
-        tested = store(self.first_pairs(single, common), "pairs")
+        tested = store(self.likely(self.first_pairs(single, common), classes), "pairs")
         links = store(self.verified(tested), "verified")
         labels = components(links)
         while True:
-            pairs = store(self.further_pairs(single, common, labels, tested), "pairs")
+            pairs = store(self.likely(self.further_pairs(single, common, labels, tested), classes), "pairs")
             if pairs.isEmpty():
                 return links, labels
             fresh = store(self.verified(pairs), "verified")
@@ -378,8 +415,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     kind = id_type(docs, id_col)
     join = Join(rows_of(docs, id_col, text_col), words, percent)
     members = store(join.members(kind), "members")
-    _, labels = join.links()
-    classes = members.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("low"))
+    classes = members.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("low"), *(F.min(c).alias(c) for c in ["n", *FLIPPED]))
+    classes = store(classes, "classes")
+    _, labels = join.links(classes.drop("low"))
     labelled = classes.join(labels, "key", "left").select("key", F.coalesce("label", "key").alias("label"), "low")
     lowest = labelled.groupBy("label").agg(F.min("low").alias("component_id"))
     named = labelled.select("key", "label").join(lowest, "label").select("key", "component_id")
