@@ -221,6 +221,14 @@ def test_jaccard_equals_a_plain_version(spark, small, awkward, nothing, monkeypa
     assert jaccard.similar(nothing).count() == 0
 
 
+def test_lines_are_read_once_by_the_parser(spark):
+    df = spark.createDataFrame([(1, "a 2b c d\nx  y z w\n\nshort one"), (2, ""), (3, None)], "doc_id long, text string")
+    parsed = templates.parse(df, "doc_id", "text")
+    assert sorted((r["id"], r["pos"], r["line"]) for r in parsed.collect()) == [(1, 0, "a <*> c d"), (1, 1, "x y z w")]
+    plan = parsed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("RLIKE") == 1 and plan.count("split(") == 1
+
+
 def rows_made_by_joins(df):
     """The most rows that a join of the plan makes."""
     df.collect()
