@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.llm import bpe, decontaminate, jaccard, quality_rules, templates
-from veilspark.llm.blocks import restored, store
+from veilspark.llm.blocks import restored, split_by, store
 from veilspark.llm.queries import vocabulary_text
 
 #: Near duplicates share 80 percent of their five-word shingles; a document with more than this percent of its words in test items goes.
@@ -34,11 +34,13 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group; of rows with equal id and text one. Rows without an id stay."""
     found = store(jaccard.similar(docs, words=SHINGLE_WORDS, percent=SIMILAR_PERCENT), "similar")
-    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).withColumnRenamed("doc_id", "kept_id")
-    own = F.col("d.doc_id") == F.col("k.kept_id")  # aliases: the documents may have a column of that name
-    single = docs.alias("d").join(kept.where("rows = 1").alias("k"), own, "left_semi")
-    repeated = docs.alias("d").join(kept.where("rows > 1").alias("k"), own, "left_semi").dropDuplicates(["doc_id", "text"])
-    return single.unionByName(repeated).unionByName(docs.where("doc_id IS NULL"))
+    rows = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count_if(F.expr("doc_id = component_id")).alias("rows")).withColumnRenamed("doc_id", "other_id")
+    others = store(rows.where("rows <> 1"), "others")  # few: the documents that go, and those of repeated rows
+    marked, rest = split_by(docs, F.col("doc_id"), F.col("other_id"), others)
+    own = F.col("d.doc_id") == F.col("k.other_id")  # aliases: the documents may have a column of that name
+    single = marked.alias("d").join(others.alias("k"), own, "left_anti")
+    repeated = marked.alias("d").join(others.where("rows > 1").alias("k"), own, "left_semi").dropDuplicates(["doc_id", "text"])
+    return rest.unionByName(single).unionByName(repeated)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

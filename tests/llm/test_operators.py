@@ -8,8 +8,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from veilspark.llm import bpe, chat, components, decontaminate, jaccard, pages, quality_model, quality_rules, repeats, templates, toxicity
+from veilspark.llm import blocks, bpe, chat, components, decontaminate, jaccard, pages, quality_model, quality_rules, repeats, templates, toxicity
 from veilspark.llm.queries import QUERIES, vocabulary_text
 
 SMALL = "/root/testdata/sf0.001"
@@ -262,6 +263,31 @@ def test_jaccard_makes_no_pairs_among_near_copies_that_do_not_link(spark, monkey
     assert max(made) < 10 * len(rows) and sum(compared) < len(rows)
 
 
+def test_jaccard_bitmaps_tell_long_sets_apart(spark):
+    word = lambda k: f"w{k}"
+    whole = [word(k) for k in range(1010)]
+    rows = [(1, whole), (2, whole + [word(k) for k in range(5000, 5040)]), (3, whole[:600] + [word(k) for k in range(6000, 6410)]), (4, [word(k) for k in range(9000, 9900)])]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "id long, text string")
+    join = jaccard.Join(df, 4, 85)
+    members = blocks.store(join.members("long"), "members")
+    key = {r["id"]: r["key"] for r in members.collect()}
+    assert sorted(len(r["bits"]) for r in members.collect()) == [32, 32, 32, 64]  # the second one is folded to compare
+    pairs = spark.createDataFrame([(key[i], key[j]) for i in key for j in key if i < j], "a long, b long")
+    left = {(r["a"], r["b"]) for r in join.likely(pairs, members).collect()}
+    assert left == {(key[1], key[2])}
+
+
+def test_rows_are_split_by_the_keys_that_are_looked_for(spark):
+    rows = spark.range(20_000).selectExpr("nullif(id, 7) AS id", "'x' AS page", "id AS slot")
+    found = blocks.store(spark.range(20_000).where("id % 100 = 3").selectExpr("id AS key").unionByName(spark.sql("SELECT CAST(NULL AS LONG) AS key")), "found")
+    some, rest = blocks.split_by(rows, F.col("id"), F.col("key"), found)
+    assert some.columns == rest.columns == rows.columns
+    assert Counter(tuple(r) for r in some.unionByName(rest).collect()) == Counter(tuple(r) for r in rows.collect())
+    assert rest.where("id % 100 = 3 OR id IS NULL").isEmpty() and some.count() < 200 + 20_000 / 8
+    some, rest = blocks.split_by(rows, F.col("id"), F.col("key"), found.limit(0))
+    assert some.isEmpty() and rest.count() == 20_000
+
+
 def test_jaccard_prefix_asks_for_more_matches_where_postings_are_long():
     tokens = np.arange(100, dtype=np.uint64) << np.uint64(40)
     many = tokens[:95]
@@ -349,6 +375,35 @@ def test_line_templates_use_no_python(spark, small):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def bytes_shuffled(df):
+    """What the exchanges of the plan move, on tables too large to broadcast."""
+    spark, held = df.sparkSession, {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        df = df.select("*")
+        df.collect()
+        plans, moved = [df._jdf.queryExecution().executedPlan()], 0
+        while plans:
+            plan = plans.pop()
+            plans += [plan.children().apply(k) for k in range(plan.children().size())]
+            if plan.nodeName() == "Exchange":
+                moved += plan.metrics().apply("dataSize").value()
+        return moved
+    finally:
+        for k in held:
+            spark.conf.unset(k)
+
+
+def test_texts_without_recurring_lines_are_not_shuffled(spark):
+    rng = np.random.default_rng(4)
+    notice = "all rights of this page are reserved by nobody"
+    rows = [(k, "\n".join(" ".join(prose(rng, 8)) for _ in range(30)) + ("\n" + notice if k % 20 == 0 else "")) for k in range(400)]
+    left = templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["n_dropped"] for r in left.collect()} == {k: int(k % 20 == 0) for k in range(400)}
+    assert bytes_shuffled(left) < 0.3 * sum(len(t) for _, t in rows)
+
+
 def prose(rng, n):
     return ["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(n)]
 

@@ -5,7 +5,7 @@ from collections import Counter
 import corpus_pipeline
 from veilspark.llm.blocks import store
 
-from test_operators import plain_components, plain_hits, plain_quality, texts
+from test_operators import bytes_shuffled, plain_components, plain_hits, plain_quality, texts
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -43,3 +43,12 @@ def test_stages_on_odd_tables(spark):
         kept = sorted((r["doc_id"] or 0, r["n_chars"]) for r in docs.collect())
         assert kept in ([(0, len(good) + 5), (3, len(good))], [])
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() == len(kept)
+
+
+def test_texts_that_stay_are_not_shuffled(spark):
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(300))
+    rows = [(k, text(k // 2 if k < 20 else k)) for k in range(400)] + [(None, text(500)), (399, text(399)), (398, text(600))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, SMALL)
+    assert Counter(tuple(r) for r in kept.collect()) == Counter([r for r in rows[:400] if r[0] >= 20 or r[0] % 2 == 0] + [rows[400], rows[402]])
+    assert bytes_shuffled(kept) < 0.4 * sum(len(t) for _, t in rows)

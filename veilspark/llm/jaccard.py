@@ -17,8 +17,9 @@ counted on their prefixes. No link between components is lost, and a group of th
 near copies costs no pairs among all.
 
 Before whole sets travel, a bitmap of each class tells pairs that cannot be similar: every
-shingle flips one of ``BITS`` bits, so two bitmaps differ in no more bits than their sets in
-shingles.
+shingle flips one bit, so two bitmaps differ in no more bits than their sets in shingles. A
+bitmap has at least twice as many bits as its set has shingles, else those of two long sets
+would differ in half their bits at most, too few to tell.
 
 Shuffles. Shingle counts and prefix postings travel as packed arrays, hashed to many small
 parts whose number follows the shuffle partitions. Common shingles are pre-aggregated per
@@ -64,13 +65,20 @@ def class_key(tokens: np.ndarray) -> int:
 
 
 def flipped(tokens: np.ndarray) -> np.ndarray:
-    """The bitmap of a set, as 64-bit numbers: each shingle flips the bit that its lowest bits name."""
-    odd = np.bincount((tokens & U(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    """The bitmap of a set, as 64-bit numbers: each shingle flips the bit that its lowest bits name.
+
+    The number of bits is a power of two. The halves of a bitmap, one flipped by the other, are
+    the set's bitmap of half as many bits.
+    """
+    bits = max(BITS, 1 << (2 * len(tokens)).bit_length())
+    odd = np.bincount((tokens & U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(bool)).view(np.int64)
 
 
-#: Columns of a bitmap.
-FLIPPED = [f"bits{k}" for k in range(BITS // 64)]
+def _folded(bits: str, width: str) -> str:
+    """A bitmap brought to fewer numbers."""
+    parts = f"aggregate(sequence(0, size({bits}) div {width} - 1), array_repeat(0L, {width}), (held, k) -> zip_with(held, slice({bits}, k * {width} + 1, {width}), (p, q) -> p ^ q))"
+    return f"CASE WHEN size({bits}) = {width} THEN {bits} ELSE {parts} END"
 
 
 def parts_of(spark: SparkSession) -> int:
@@ -93,12 +101,11 @@ class Join:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for block in cut(batches):
                 sets = list(document_sets(block, words))
-                bits = np.array([flipped(s) for s in sets])
                 yield pa.RecordBatch.from_arrays([
                     block.ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) if len(s) else None for s in sets], pa.int64()),
-                    *(pa.array(b, pa.int64()) for b in bits.T)], ["id", "n", "key", *FLIPPED])
+                    _lists([flipped(s) for s in sets])], ["id", "n", "key", "bits"])
 
-        return self.rows.mapInArrow(run, f"id {kind}, n long, key long, " + ", ".join(f"{c} long" for c in FLIPPED))
+        return self.rows.mapInArrow(run, f"id {kind}, n long, key long, bits array<long>")
 
     def common(self) -> tuple[np.ndarray, np.ndarray, int]:
         """Leading bits of shingles in more than RARE documents (sorted), their document counts, bits cut off.
@@ -230,8 +237,12 @@ class Join:
 
     def likely(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         """The pairs (a, b) whose bitmaps do not rule out that they are similar."""
-        joined = pairs.join(classes.alias("x"), F.col("a") == F.col("x.key")).join(classes.alias("y"), F.col("b") == F.col("y.key"))
-        differ = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in FLIPPED)
+        pairs = store(pairs, "asked")
+        ids = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+        held = classes.join(F.broadcast(ids) if 2 * pairs.count() <= MAX_BROADCAST else ids, "key", "left_semi")
+        joined = pairs.join(held.alias("x"), F.col("a") == F.col("x.key")).join(held.alias("y"), F.col("b") == F.col("y.key"))
+        width = "least(size(x.bits), size(y.bits))"
+        differ = f"aggregate(zip_with({_folded('x.bits', width)}, {_folded('y.bits', width)}, (p, q) -> bit_count(p ^ q)), 0, (sum, n) -> sum + n)"
         return joined.where(f"{differ} <= x.n + y.n - 2 * {self._overlap('x', 'y')}").select("a", "b")
 
     @property
@@ -304,7 +315,7 @@ class Join:
             for block in cut(batches):
                 rows = []
                 for s in document_sets(block, words):
-                    if len(s) and bits[(key := class_key(s)) & (len(bits) - 1)] and key not in sent:
+                    if len(s) and _holds(bits, key := class_key(s)) and key not in sent:
                         rows.append((key, s.tobytes()))
                         sent.add(key)  # 8 bytes for each class of this task
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["key", "tokens"])
@@ -395,15 +406,20 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
 
 
 def _bitmap(ids: DataFrame) -> np.ndarray:
-    """A flag for each of 2**WANTED_BITS residues of the keys: a fixed 2 MB whatever their number."""
+    """A bit for each of 2**WANTED_BITS residues of the keys: a fixed 2 MB whatever their number."""
     slot = F.col("key").bitwiseAND(F.lit((1 << WANTED_BITS) - 1))
     rows = ids.select(slot.alias("slot")).groupBy(F.expr("slot div 32768").alias("page")).agg(F.expr("bitmap_construct_agg(slot % 32768)").alias("bits")).collect()
-    out = np.zeros(1 << WANTED_BITS, bool)
+    out = np.zeros(1 << WANTED_BITS - 3, np.uint8)
     for r in rows:
-        out[r["page"] * 32768:(r["page"] + 1) * 32768] = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little")
+        out[r["page"] * 4096:(r["page"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return out
 
 
+def _holds(bits: np.ndarray, key: int) -> bool:
+    slot = key & ((1 << WANTED_BITS) - 1)
+    return bool(bits[slot >> 3] >> (slot & 7) & 1)
+
+
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per document: id, ``n_shingles`` and ``component_id``, the smallest id reachable by links.
 
@@ -415,7 +431,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     kind = id_type(docs, id_col)
     join = Join(rows_of(docs, id_col, text_col), words, percent)
     members = store(join.members(kind), "members")
-    classes = members.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("low"), *(F.min(c).alias(c) for c in ["n", *FLIPPED]))
+    classes = members.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("low"), F.min("n").alias("n"), F.first("bits").alias("bits"))
     classes = store(classes, "classes")
     _, labels = join.links(classes.drop("low"))
     labelled = classes.join(labels, "key", "left").select("key", F.coalesce("label", "key").alias("label"), "low")
