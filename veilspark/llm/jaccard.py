@@ -34,7 +34,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -140,26 +139,26 @@ class Join:
             if size:
                 yield packed(found)
 
-        def total(pdf: pd.DataFrame) -> pd.DataFrame:
-            raw = [np.frombuffer(t, np.uint8).reshape(-1, 3).astype(np.uint32) for t in pdf.tokens]
+        def total(found: pa.Table) -> pa.Table:
+            raw = [np.frombuffer(t, np.uint8).reshape(-1, 3).astype(np.uint32) for t in found["tokens"].to_pylist()]
             tokens = np.concatenate([t[:, 0] | t[:, 1] << 8 | t[:, 2] << 16 for t in raw])
-            counts = np.concatenate([_dense(c, len(t)) for c, t in zip(pdf["counts"], raw, strict=True)])
+            counts = np.concatenate([_dense(c, len(t)) for c, t in zip(found["counts"].to_pylist(), raw, strict=True)])
             order = np.argsort(tokens, kind="stable")
             tokens = tokens[order]
             first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
             sums = np.add.reduceat(counts[order], first)
             some = sums > RARE
-            lead = (np.uint64(pdf.part.iloc[0]) << U(24)) | tokens[first][some].astype(U)
-            return pd.DataFrame({"token": lead.view(np.int64), "docs": sums[some]})
+            lead = (np.uint64(found["part"][0].as_py()) << U(24)) | tokens[first][some].astype(U)
+            return pa.table({"token": lead.view(np.int64), "docs": sums[some]})
 
-        counted = self.rows.mapInArrow(count, "part int, tokens binary, counts binary").groupBy("part").applyInPandas(total, "token long, docs long")
+        counted = self.rows.mapInArrow(count, "part int, tokens binary, counts binary").groupBy("part").applyInArrow(total, "token long, docs long")
         counted = store(counted, "common")
         if counted.count() > MAX_COMMON:
             counted = counted.orderBy(F.desc("docs"), "token").limit(MAX_COMMON)
-        found = counted.toPandas()
-        tokens = found.token.to_numpy(np.int64).view(U)
+        found = counted.toArrow()
+        tokens = found["token"].to_numpy().view(U)
         order = np.argsort(tokens)
-        return tokens[order], found.docs.to_numpy(np.int64)[order], shift
+        return tokens[order], found["docs"].to_numpy()[order], shift
 
     def prefixes(self, table) -> DataFrame:
         """(part, data): packed prefix postings of rare shingles, once per class and flush."""
@@ -215,15 +214,15 @@ class Join:
     def lists(self, table) -> DataFrame:
         """Posting lists of two classes or more: (members, times), equal lists united."""
 
-        def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-            rows = np.unique(np.frombuffer(b"".join(pdf.data), _POSTING))
+        def gather(found: pa.Table) -> pa.Table:
+            rows = np.unique(np.frombuffer(b"".join(found["data"].to_pylist()), _POSTING))
             first = np.flatnonzero(np.append(True, rows["token"][1:] != rows["token"][:-1]))
             ends = np.append(first[1:], len(rows))
             some = ends - first > 1
             out = [rows[a:b] for a, b in zip(first[some].tolist(), ends[some].tolist(), strict=True)]
-            return pd.DataFrame({c: pd.Series([r[c].tolist() for r in out], dtype=object) for c in ("key", "size")})
+            return pa.table({c: _lists([r[c].astype(np.int64) for r in out]) for c in ("key", "size")})
 
-        found = self.prefixes(table).groupBy("part").applyInPandas(gather, "key array<long>, size array<long>")
+        found = self.prefixes(table).groupBy("part").applyInArrow(gather, "key array<long>, size array<long>")
         found = found.groupBy("key").agg(F.first("size").alias("size"), F.count(F.lit(1)).alias("times"))
         member = lambda z: F.struct(z["key"].alias("key"), F.shiftright(z["size"], 3).cast("int").alias("n"), (z["size"] % 8 + 1).cast("int").alias("m"))
         return found.select(F.transform(F.arrays_zip("key", "size"), member).alias("members"), "times")
