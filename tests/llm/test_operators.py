@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -348,6 +349,45 @@ def test_interval_tree_gives_all_members_of_maximal_repeats():
     assert found == {(0, 1, 6), (2, 1, 6), (0, 3, 4), (1, 3, 4)}
 
 
+def test_groups_come_whole_and_one_after_the_other():
+    sizes = [1, 5, 700, 2, 1, 1, 40, 300, 1]
+    groups = np.repeat(np.arange(len(sizes)) - 4, sizes)
+    for width in (1, 7, 64, 100, 5000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(groups[k:k + width])], ["group"]) for k in range(0, len(groups), width)]
+        tables = [t.column(0).to_numpy() for t in repeats.whole_groups(iter([*batches, batches[0].slice(0, 0)]))]
+        assert np.array_equal(np.concatenate(tables), groups)
+        assert all(a[-1] < b[0] for a, b in zip(tables, tables[1:], strict=False))
+        assert max(map(len, tables)) <= max(sizes) + 2 * width
+    assert list(repeats.whole_groups(iter([]))) == []
+
+
+def test_a_passage_of_very_many_texts_makes_few_rows(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(k, " ".join([*prose(rng, 80), PASSAGE[k % 9 * 20:], *prose(rng, 80)])) for k in range(90)]
+    written, store = defaultdict(list), repeats.store
+
+    def counted(df, name):
+        out = store(df, name)
+        written[name].append(out)
+        return out
+
+    monkeypatch.setattr(repeats, "store", counted)
+    monkeypatch.setattr(repeats, "MAX_CONTEXTS", 20)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r) for r in repeats.remove_repeats(df, digest=True).collect())
+    assert got == Counter(plain_removed([(i, t.encode()) for i, t in rows], 400))
+    contexts = written["contexts"][0].count()
+    assert "hot" in written and max(t.count() for tables in written.values() for t in tables) < 20 * contexts
+    assert written["covers"][0].count() == written["covers"][0].select("anchor", "context").distinct().count()
+
+
+def test_repeats_gather_few_contexts_that_nobody_asked_for(spark):
+    seats = spark.range(200_000).selectExpr("xxhash64(id) AS occurrence", "xxhash64(id, 1) AS `group`")
+    flags = np.unpackbits(repeats._wanted(seats))
+    assert 0 < flags.mean() < 0.07 and len(flags) <= repeats.MAX_BITS
+    assert len(repeats._wanted(seats.limit(0))) and not repeats._wanted(seats.limit(0)).any()
+
+
 # -- Line templates ---------------------------------------------------------------------------------------------------
 
 
