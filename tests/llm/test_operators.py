@@ -484,6 +484,96 @@ def test_lines_that_dissimilar_texts_share_go(spark):
     assert all(got[300 + k]["n_dropped"] == 0 for k in range(9))
 
 
+def hashes_of(spark, rows):
+    """Spark's hash of each row of strings; nulls add nothing to it."""
+    rows = sorted(set(rows), key=repr)
+    columns = [f"c{k}" for k in range(len(rows[0]))]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k long, " + ", ".join(f"{c} string" for c in columns))
+    return {rows[r["k"]]: r["h"] for r in df.select("k", F.xxhash64(*columns).alias("h")).collect()}
+
+
+def plain_shingles(words):
+    at = lambda k: None if not 0 <= k < len(words) or words[k] == "\n" else "<*>" if re.search("[0-9@/]", words[k]) else words[k]
+    return {(at(i), at(i + 1), at(i + 2)) for i in range(len(words)) if at(i) is not None and ((at(i + 1) is not None and at(i + 2) is not None) or at(i - 1) is None)}
+
+
+def plain_recurring(spark, rows):
+    """(lines, lines of recurring templates, what is left) of each id: templates, their leaves and the weights of their texts by loops over dictionaries."""
+    parsed = {}
+    for t in {t for _, t in rows}:
+        tokens = [["<*>" if re.search("[0-9@/]", w) else w for w in plain_words(line)] for line in t.split("\n")]
+        parsed[t] = [" ".join(w) if len(w) >= 4 else None for w in tokens]
+    lines = {x for held in parsed.values() for x in held if x}
+    words = {t: [w for w in re.sub("[\t\r]", " ", t.replace("\n", " \n ")).split(" ") if w] for t in parsed} | {x: x.split(" ") for x in lines}
+    shingles = {x: plain_shingles(w) for x, w in words.items()}
+    hashed = hashes_of(spark, [s for x in shingles.values() for s in x])
+    sketch = {x: sorted({hashed[s] for s in found})[:16] for x, found in shingles.items()}
+    of_line = {x[0]: h for x, h in hashes_of(spark, [(x,) for x in lines]).items()}
+    leaf = lambda x: (len(x.split(" ")), *x.split(" ")[:3])
+    least = lambda n: 3 if n > 50 else 10
+    holders = {x: {t for t, held in parsed.items() if x in held} for x in lines}
+
+    def many(by_text, n):  # the template that each text holds
+        rest = {t: [h for h in sketch[t] if h not in sketch[x]] or [0] for t, x in by_text.items()}
+        shared, count = Counter(h for r in rest.values() for h in r), len(rest)
+        for r in rest.values():
+            crowd = sorted((shared[h] for h in r if shared[h] > 1), reverse=True)
+            if len(crowd) * 2 > len(r):
+                count -= 1 - 1 / crowd[len(r) // 2]
+        return round(count, 6) >= least(n)
+
+    gone = {x for x in lines if len(holders[x]) >= least(leaf(x)[0]) and many(dict.fromkeys(holders[x], x), leaf(x)[0])}
+    for key in {leaf(x) for x in lines}:
+        own = [x for x in lines if leaf(x) == key]
+        if len(own) < 2 or sum(len(holders[x]) for x in own) < least(key[0]):
+            continue
+        fixed = {}
+        for at in range(3, key[0]):
+            votes = Counter()
+            for x in own:
+                votes[x.split(" ")[at]] += len(holders[x])
+            n, token = max((n, token) for token, n in votes.items())
+            if n * 2 >= sum(votes.values()):
+                fixed[at] = token
+        fits = [x for x in own if all(x.split(" ")[at] == token for at, token in fixed.items())]
+        by_text = {}
+        for x in sorted(fits, key=of_line.get, reverse=True):
+            by_text.update(dict.fromkeys(holders[x], x))
+        if fixed and (len(fixed) + 3) * 100 >= key[0] * 70 and len(by_text) >= least(key[0]) and many(by_text, key[0]):
+            gone.update(fits)
+
+    def left(t):
+        kept = [line for line, x in zip(t.split("\n"), parsed[t], strict=True) if x not in gone]
+        return len(parsed[t]) if t else 0, len(parsed[t]) - len(kept), "\n".join(kept)
+
+    return Counter((i, *left(t)) for i, t in rows)
+
+
+def test_whole_line_templates_equal_a_plain_version(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    line = lambda n=9: " ".join(prose(rng, n))
+    family, rows = [prose(rng, 9) for _ in range(12)], []
+    for k in range(40):  # near copies, each with words of its own
+        copy = [list(x) for x in family]
+        for at in rng.integers(0, 12, 3):
+            copy[at][int(rng.integers(0, 9))] = prose(rng, 1)[0]
+        rows.append((k, "\n".join(" ".join(x) for x in copy)))
+    notice, passage = [f"part {c} of a notice of three lines" for c in ("one", "two", "three")], line(60)
+    for k in range(16):
+        rows.append((100 + k, "\n".join([line(30), *notice, line(30)])))
+        rows.append((200 + k, "\n".join([line(20), f"Please note the {prose(rng, 1)[0]} licence of this page {k}/7", line(), f"made at 1{k}:00  by\tthe people of it", "short one"])))
+        rows.append((300 + k, f"{line()}\nline that {7 + k % 5} of these texts have {'x' * (k % 3)}\n\n{line(4)}"))
+    rows += [(400 + k, f"{line(30)}\n{passage}\n{line(30)}") for k in range(4)] + [(500, rows[41][1])] * 30
+    rows += [(600, ""), (601, "\n\n"), (602, "one two"), (None, rows[44][1])]
+    spark.createDataFrame([*rows, (603, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = Counter(tuple(r) for r in QUERIES["line_template_texts"](spark, str(tmp_path)).collect())
+    want = plain_recurring(spark, [*rows, (603, "")])
+    assert got == want and sum(r[2] for r in want) > 80
+    # Lines of near copies stay and inner lines of a notice go, which neighbouring lines alone cannot tell.
+    dropped = {r[0]: r[2] for r in got}
+    assert all(dropped[k] == 0 for k in range(40)) and all(dropped[100 + k] == 3 for k in range(16))
+
+
 # -- Classifiers ------------------------------------------------------------------------------------------------------
 
 
