@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from veilspark.operators import audit
 from veilspark.operators.patterns import BANK
 from veilspark.plans.catalog import lifecycle
-from veilspark.sources.text_files import text_pieces
+from veilspark.functions.text import find_all, part_of, stretches
+from veilspark.sources.text_files import scan_pieces, text_pieces
 
 
 @pytest.mark.parametrize("rec", [r for r in BANK if r.entity_type != "EMAIL_ADDRESS"], ids=lambda r: f"{r.entity_type}-{r.regex[:12]}")
@@ -34,6 +35,33 @@ def test_text_files_are_cut_in_one_pass(spark, tmp_path):
     assert [r["core"] for r in pieces.collect()] == ["one line\n" * 50]
 
 
+def test_windows_of_a_long_text_are_taken_from_its_stretches(spark):
+    texts = ["", "a\nb", "x" * 1024, "é𝔘\r\n漢字 " * 700, "y" * 1023 + "\u2028" + "z" * 2000]
+    places = [(0, 0), (0, 5), (1000, 60), (1023, 2), (1024, 1), (2040, 3000), (2500, 9)]
+    df = spark.createDataFrame([(t, a, n) for t in texts for a, n in places], "text string, a int, n int")
+    cut = df.select("text", "a", "n", stretches(F.col("text")).alias("cut"))
+    for r in cut.select("*", part_of(F.col("cut"), F.col("a"), F.col("n")).alias("part")).collect():
+        assert r["part"] == r["text"][r["a"]:r["a"] + r["n"]]
+        assert "".join(r["cut"]) == r["text"] and all(len(s) == 1024 for s in r["cut"][:-1])
+
+
+def test_a_piece_is_measured_once_not_for_each_span(spark):
+    """A walk over the piece for each of its spans makes the time grow with their product."""
+    pieces = spark.createDataFrame([("f", 70, "ab é\n", "mail ann@example.com\n" * 3, "phone +91 98765 43210")], "file string, offset long, lead string, core string, follow string")
+    found = scan_pieces(pieces)
+    moved = found._jdf.queryExecution().analyzed().toString().splitlines()[1]
+    assert "length(lead" in moved and "length(" not in moved[moved.index("lambdafunction("):]
+    assert [(s["start_pos"], s["end_pos"]) for s in found.first()["spans"]] == [(75 + 21 * k, 90 + 21 * k) for k in range(3)]
+
+
+def test_pieces_between_matches_are_measured_once(spark):
+    df = spark.createDataFrame([("12 a 34 b",), ("none",), ("",), ("7",)], "text string")
+    found = df.select(find_all("text", "[0-9]+").alias("m"))
+    assert [[tuple(m) for m in r["m"]] for r in found.collect()] == [[(0, 2, "12"), (5, 7, "34")], [], [], [(0, 1, "7")]]
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert plan.count("instr(") == 0 and plan.count("regexp_replace(") == 1
+
+
 def test_entries_are_hashed_before_their_links_are_joined(spark):
     log = spark.createDataFrame([(1, "l", n, str(n), "u", "a", "d") for n in range(4)], "chain_id long, lane string, ord long, timestamp string, user string, action string, details string")
     chain = audit.append(log).withColumn("action", F.when(F.col("seq") == 2, "X").otherwise(F.col("action")))

@@ -42,8 +42,9 @@ _GAP = "repeat(concat('- - - - - - - -', chr(10)), 80)"
 def scan_text_pieces(spark, sf_dir):
     """All customers' texts in one file, read in byte ranges and scanned in pieces."""
     path = sinks.new_path(spark, "long-text")
-    texts = fx.kyc(spark, sf_dir).select("doc_id", F.concat("text", F.expr(_GAP)).alias("text"))
-    texts.coalesce(1).sortWithinPartitions("doc_id").select("text").write.text(path)
+    # One task writes the file; texts are made before it, and the lines between them after its sort.
+    texts = fx.kyc(spark, sf_dir).select("doc_id", "text").repartition(1).sortWithinPartitions("doc_id")
+    texts.select(F.concat("text", F.expr(_GAP)).alias("text")).write.text(path)
     return explode_spans(scan_pieces(text_pieces(spark, path)), ["file"]).drop("file")
 
 

@@ -20,6 +20,7 @@ import json
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,12 +44,13 @@ def dump_lines(spark: SparkSession, path: str, glob: str = "*.sql") -> DataFrame
 
 def runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], int, int]]:
     """((file, block), first row, row after the last) of the ranges in a batch."""
-    files, blocks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-    first = 0
-    for k in range(1, len(files) + 1):
-        if k == len(files) or blocks[k] != blocks[first] or files[k] != files[first]:
-            yield (files[first], blocks[first]), first, k
-            first = k
+    files, blocks = batch.column(0), batch.column(1)
+    names = files.dictionary_encode().indices.to_numpy()
+    places = blocks.to_numpy()
+    edges = np.flatnonzero((names[1:] != names[:-1]) | (places[1:] != places[:-1])) + 1
+    ends = [0, *edges.tolist(), len(files)] if len(files) else []
+    for first, stop in zip(ends, ends[1:], strict=False):
+        yield (files[first].as_py(), blocks[first].as_py()), first, stop
 
 
 def range_maps(lines: DataFrame) -> DataFrame:

@@ -12,10 +12,13 @@ that holds a longer run of white space than that is found only inside a piece.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspark.functions.text import let
 from veilspark.operators.sanitize import scan_spans
 from veilspark.operators.spans import SPANS
 from veilspark.sources.dump_files import dump_lines, runs
@@ -32,18 +35,23 @@ def range_edges(lines: DataFrame, around: int = AROUND) -> DataFrame:
     def edges(batches):
         key, row = None, {}
         for batch in batches:
-            sizes, octets, texts = (batch.column(k).to_pylist() for k in (2, 3, 4))
+            texts = batch.column(4)
             for own, start, stop in runs(batch):
                 if own != key:
                     if key:
                         yield pa.RecordBatch.from_pylist([row])
-                    key, row = own, {"file": own[0], "block": own[1], "chars": 0, "n_bytes": 0, "file_bytes": sizes[start], "head": "", "tail": ""}
-                for line, octet in zip(texts[start:stop], octets[start:stop], strict=True):
-                    row["chars"] += len(line) + 1
-                    row["n_bytes"] += octet
-                    if len(row["head"]) < around:
-                        row["head"] = f"{row['head']}{line}\n"[:around]
-                    row["tail"] = f"{row['tail']}{line}\n"[-around:]
+                    key, row = own, {"file": own[0], "block": own[1], "chars": 0, "n_bytes": 0, "file_bytes": batch.column(2)[start].as_py(), "head": "", "tail": ""}
+                row["chars"] += pc.sum(pc.utf8_length(texts.slice(start, stop - start))).as_py() + stop - start
+                row["n_bytes"] += pc.sum(batch.column(3).slice(start, stop - start)).as_py()
+                # Few lines make the first and the last characters; the others are only counted.
+                first, last, end = start, stop, ""
+                while first < stop and len(row["head"]) < around:
+                    row["head"] = f"{row['head']}{texts[first].as_py()}\n"[:around]
+                    first += 1
+                while last > start and len(end) < around:
+                    last -= 1
+                    end = f"{texts[last].as_py()}\n{end}"[-around:]
+                row["tail"] = f"{row['tail']}{end}"[-around:]
         if key:
             yield pa.RecordBatch.from_pylist([row])
 
@@ -82,14 +90,17 @@ def text_pieces(spark: SparkSession, path: str, glob: str = "*.txt", piece: int
             return {"file": key[0], "block": key[1], "offset": offset, "lead": lead, "core": core, "follow": follow, "first": fresh, "last": last}
 
         for batch in batches:
-            found, some = [], batch.column(2).to_pylist()
+            if not batch.num_rows:
+                continue
+            found, ended = [], pc.binary_join_element_wise(batch.column(2).cast(pa.large_string()), *(pa.scalar(t, pa.large_string()) for t in ("", "\n")))
+            at, data = np.frombuffer(ended.buffers()[1], np.int64)[ended.offset:], ended.buffers()[2]
             for own, start, stop in runs(batch):
                 if own != key:
                     if key:
                         found.append(row(text.removesuffix("\n") if begins[key][1] else text, "", True))
                     key, text, lead, offset, fresh = own, "", "", begins[own][0], True
                 for first in range(start, stop, 256):
-                    text += "".join(f"{line}\n" for line in some[first:min(stop, first + 256)])
+                    text += data[int(at[first]):int(at[min(stop, first + 256)])].to_pybytes().decode()
                     while len(text) >= piece + around:
                         end = text.rfind("\n", around, piece) + 1 or text.find("\n", piece) + 1
                         if len(text) - end <= around:
@@ -113,12 +124,14 @@ def scan_pieces(pieces: DataFrame, **options) -> DataFrame:
     """Pieces with the spans that begin in their core, at their places in the file."""
     whole = pieces.withColumn("_text", F.concat("lead", "core", "follow"))
     found = scan_spans(whole, "_text", out="spans", **options)
-    since = F.length("lead")
-    shift = F.col("offset") - since
+    # Bound by ``let``: lengths are counted character by character, once for each piece and not for each of its spans.
+    sizes = F.struct(F.length("lead").alias("since"), (F.length("lead") + F.length("core")).alias("until"), (F.col("offset") - F.length("lead")).alias("shift"))
 
-    def moved(s):
-        return F.struct((s["start_pos"] + shift).alias("start_pos"), (s["end_pos"] + shift).alias("end_pos"), s["entity_type"].alias("entity_type"), s["score"].alias("score"), s["value"].alias("value"))
+    def own(n):
+        def moved(s):
+            return F.struct((s["start_pos"] + n["shift"]).alias("start_pos"), (s["end_pos"] + n["shift"]).alias("end_pos"), s["entity_type"].alias("entity_type"), s["score"].alias("score"), s["value"].alias("value"))
+
+        return F.transform(F.filter("spans", lambda s: (s["start_pos"] >= n["since"]) & (s["start_pos"] < n["until"])), moved)
 
-    own = F.filter("spans", lambda s: (s["start_pos"] >= since) & (s["start_pos"] < since + F.length("core")))
     long_spans = SPANS.replace("start_pos:int,end_pos:int", "start_pos:bigint,end_pos:bigint")
-    return found.withColumn("spans", F.transform(own, moved).cast(long_spans)).drop("_text")
+    return found.withColumn("spans", let(sizes, own).cast(long_spans)).drop("_text")
