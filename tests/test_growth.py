@@ -1,6 +1,7 @@
 """Work that must not grow faster than the input: what is read, moved and tested how often."""
 
 import glob
+import random
 import re
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from veilspark.operators import audit
 from veilspark.operators.patterns import BANK
 from veilspark.plans.catalog import lifecycle
+from veilspark.functions.crypto import _remainder, fpe_encrypt
 from veilspark.functions.text import find_all, part_of, stretches
 from veilspark.sources.text_files import scan_pieces, text_pieces
 
@@ -62,6 +64,16 @@ def test_pieces_between_matches_are_measured_once(spark):
     assert plan.count("instr(") == 0 and plan.count("regexp_replace(") == 1
 
 
+def test_remainders_of_sixteen_bytes_need_no_decimals(spark):
+    rnd = random.Random(3)
+    numbers = [0, 1, (1 << 128) - 1, 1 << 127, (1 << 64) - 1, 1 << 64, *(rnd.getrandbits(128) for _ in range(200))]
+    rows = [(n.to_bytes(16, "little").hex().upper() + "FF" * 16, 10 ** (k % 8 + 3), n % 10 ** (k % 8 + 3)) for k, n in enumerate(numbers * 8)]
+    df = spark.createDataFrame(rows, "h string, m long, want long")
+    assert df.where(_remainder(F.col("h"), F.col("m")) != F.col("want")).count() == 0
+    sealed = fpe_encrypt(spark.createDataFrame([("1234567890",)], "d string"), "d", "e", "00" * 32, "00" * 7)
+    assert "decimal" not in sealed._jdf.queryExecution().analyzed().toString()
+
+
 def test_entries_are_hashed_before_their_links_are_joined(spark):
     log = spark.createDataFrame([(1, "l", n, str(n), "u", "a", "d") for n in range(4)], "chain_id long, lane string, ord long, timestamp string, user string, action string, details string")
     chain = audit.append(log).withColumn("action", F.when(F.col("seq") == 2, "X").otherwise(F.col("action")))
